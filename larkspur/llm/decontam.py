@@ -3,8 +3,8 @@
 The test items are indexed; each training text is cut into overlapping passages of words, each of
 which is a query. A posting's impact is its BM25 contribution as a share of what its item scores
 against itself, so that one threshold serves items of any length. Block-max WAND walks the
-postings in item order and skips blocks whose best impacts can't reach the threshold; all
-items above it are retrieved, none are cut off by rank. What it retrieves is verified word by word: at least
+postings in item order and skips blocks of items whose best impacts, added up over the passage's terms, can't
+reach the threshold; all items above it are retrieved, none are cut off by rank. What it retrieves is verified word by word: at least
 ``OVERLAP`` of the item's five-word shingles stand in the passage, and at least ``PART`` of the words of
 its question (all but the last sentence) and of its answer (the last sentence) do.
 
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import arrow_map, with_fields
+from larkspur.llm.common import arrow_map, ragged, with_fields
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
-#: BM25's k1 and b, the postings in a block, the share of an item's own score that is retrieved.
-K1, B, BLOCK, THRESHOLD = 1.2, 0.75, 32, 0.6
+#: BM25's k1 and b, the items in a block, the share of an item's own score that is retrieved.
+K1, B, BLOCK, THRESHOLD = 1.2, 0.75, 4, 0.6
 SHINGLE, OVERLAP, PART = 5, 0.8, 0.5
 ITEMS = 100_000
 #: A passage has at least so many words.
@@ -63,16 +63,26 @@ class Index:
             raw[t] = [(n, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(sequences[n]) / mean))) for n, f in postings]
             for n, x in raw[t]:
                 own[n] += x
-        #: By term: items, impacts, each block's last item and highest impact; and each term's highest.
-        self.items, self.impact, self.block_end, self.block_max = [], [], [], []
+        #: By term: items and impacts, and the term's highest.
+        self.items, self.impact = [], []
+        blocks, highest, counts = [], [], []
         self.top = np.zeros(len(self.terms) + 1)  # the last is for words in no item
         for t in range(len(self.terms)):
             at, value = [n for n, _ in raw[t]], [x / own[n] for n, x in raw[t]]
             self.items.append(at)
             self.impact.append(value)
-            self.block_end.append([at[min(i + BLOCK, len(at)) - 1] for i in range(0, len(at), BLOCK)])
-            self.block_max.append([max(value[i : i + BLOCK]) for i in range(0, len(at), BLOCK)])
+            best: dict[int, float] = {}
+            for n, x in zip(at, value):
+                best[n // BLOCK] = max(best.get(n // BLOCK, 0.0), x)
+            blocks += best
+            highest += best.values()
+            counts.append(len(best))
             self.top[t] = max(value)
+        #: Blocks are ranges of BLOCK items; by term, end to end, those that it occurs in with its highest impact there.
+        self.blocks, self.highest = np.array(blocks, np.int64), np.array(highest, float)
+        self.block_count = np.array([*counts, 0], np.int64)
+        self.block_at = np.cumsum(self.block_count) - self.block_count
+        self.n_blocks = -(-len(rows) // BLOCK)
         longest = max(map(len, sequences), default=1)
         self.width = max(PASSAGE, 3 * longest)
         self.step = self.width - longest - longest // 4  # an item may have grown by a quarter
@@ -89,11 +99,33 @@ class Index:
         n = min(SHINGLE, len(ids))
         return frozenset(zip(*(ids[i:] for i in range(n))))
 
-    def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
+    def reachable(self, passage: np.ndarray, term: np.ndarray, passages: int, threshold: float) -> list[list[int]]:
+        """For each passage the blocks whose highest impacts, over its distinct terms, add up to the threshold.
+
+        The work of all passages of a text is done at once, in steps of a bounded table.
+        """
+        out: list[list[int]] = []
+        step = max(1, 4_000_000 // max(1, self.n_blocks))
+        for low in range(0, passages, step):
+            a, b = np.searchsorted(passage, [low, low + step])
+            n = self.block_count[term[a:b]]
+            at = ragged(self.block_at[term[a:b]], n)
+            rows = min(step, passages - low)
+            bound = np.bincount(np.repeat(passage[a:b] - low, n) * self.n_blocks + self.blocks[at], self.highest[at], rows * self.n_blocks).reshape(rows, -1)
+            found, block = np.nonzero(bound >= threshold - 1e-9)
+            out += [x.tolist() for x in np.split(block, np.searchsorted(found, np.arange(1, rows)))]
+        return out
+
+    def search(self, terms: list[int], threshold: float = THRESHOLD, blocks: list[int] | None = None) -> list[tuple[int, float]]:
         """(item, score) of all items that the distinct ``terms`` score at ``threshold`` or above."""
         slack = threshold - 1e-9
-        cursors = [[self.items[t][0], 0, t] for t in terms]  # item, place, term
-        out = []
+        if blocks is None:
+            blocks = self.reachable(np.zeros(len(terms), np.int64), np.array(terms, np.int64), 1, threshold)[0]
+        out: list[tuple[int, float]] = []
+        if not blocks:
+            return out
+        # item, place, term; from the first block that can reach the threshold on
+        cursors = self.moved([[-1, 0, t] for t in terms], blocks[0] * BLOCK)
         while cursors:
             cursors.sort()
             total, pivot = 0.0, -1
@@ -105,33 +137,36 @@ class Index:
             if pivot < 0:
                 break
             item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            bound, nearest = 0.0, len(self.keys)
-            for _, _, t in cursors[: pivot + 1]:
-                b = bisect.bisect_left(self.block_end[t], item)
-                if b < len(self.block_end[t]):
-                    bound += self.block_max[t][b]
-                    nearest = min(nearest, self.block_end[t][b] + 1)
-            if bound < slack:
-                # no item can reach the threshold before a block ends or a further term begins
-                target = max(item + 1, min(nearest, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else nearest))
+            ahead = bisect.bisect_left(blocks, item // BLOCK)
+            if ahead == len(blocks):
+                break
+            if blocks[ahead] != item // BLOCK:
+                # no item before the next such block can reach the threshold
+                target = blocks[ahead] * BLOCK
             elif cursors[0][0] == item:
-                score = sum(self.impact[t][p] for _, p, t in cursors[: pivot + 1])
+                score = 0.0
+                for own, place, t in cursors:
+                    if own != item:
+                        break
+                    score += self.impact[t][place]
                 if score >= slack:
                     out.append((item, score))
                 target = item + 1
             else:
                 target = item
-            moved = []
-            for own, place, t in cursors:
-                if own < target:
-                    place = bisect.bisect_left(self.items[t], target, place)
-                    if place == len(self.items[t]):
-                        continue
-                    own = self.items[t][place]
-                moved.append([own, place, t])
-            cursors = moved
+            cursors = self.moved(cursors, target)
+        return out
+
+    def moved(self, cursors: list[list[int]], target: int) -> list[list[int]]:
+        """The cursors at their first items from ``target`` on; those that have none are gone."""
+        out = []
+        for own, place, t in cursors:
+            if own < target:
+                place = bisect.bisect_left(self.items[t], target, place)
+                if place == len(self.items[t]):
+                    continue
+                own = self.items[t][place]
+            out.append([own, place, t])
         return out
 
     def matches(self, text: str | None) -> list[tuple]:
@@ -141,18 +176,20 @@ class Index:
         if not ids or not self.keys:
             return []
         sequence = np.array(ids, np.int64)
-        upto = np.r_[0.0, np.cumsum(self.top[sequence])]
         begins = np.arange(0, max(1, len(ids) - (self.width - self.step)), self.step)
-        bound = upto[np.minimum(begins + self.width, len(ids))] - upto[begins]
+        sizes = np.minimum(begins + self.width, len(ids)) - begins
+        pairs = np.unique(np.repeat(np.arange(len(begins)), sizes) * (none + 1) + sequence[ragged(begins, sizes)])
+        passage, term = pairs // (none + 1), pairs % (none + 1)
         best: dict[int, tuple] = {}
-        for begin in begins[bound >= THRESHOLD - 1e-9].tolist():
+        for p, blocks in enumerate(self.reachable(passage, term, len(begins), THRESHOLD)):
+            if not blocks:
+                continue
+            begin = int(begins[p])
             part = ids[begin : begin + self.width]
             terms = set(part)
             terms.discard(none)
-            if sum(map(self.top.__getitem__, terms)) < THRESHOLD - 1e-9:
-                continue
             grams: dict[int, frozenset] = {}
-            for item, score in self.search(sorted(terms)):
+            for item, score in self.search(sorted(terms), THRESHOLD, blocks):
                 own = self.shingles[item]
                 size = len(next(iter(own)))
                 if size not in grams:
