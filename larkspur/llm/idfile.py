@@ -26,6 +26,8 @@ import os
 import re
 import uuid
 import zlib
+from collections import defaultdict
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -76,12 +78,18 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = max(w for w in windows if w <= count)
         most = np.maximum(windows[size][:n], windows[size][count - size : count - size + n])
         selector[most <= k] = k
-    step = COUNT_OF[selector].astype(np.uint8).tobytes()
-    i, starts = 0, []
+    # where the next word begins, and that 2, 4 and 8 words on; only every eighth is walked
+    jumps = [np.append(np.minimum(np.arange(n) + COUNT_OF[selector], n), n)]
+    while len(jumps) < 4:
+        jumps.append(jumps[-1][jumps[-1]])
+    far, i, walked = memoryview(jumps[-1]), 0, []
     while i < n:
-        starts.append(i)
-        i += step[i]
-    begins = np.array(starts, np.int64)
+        walked.append(i)
+        i = far[i]
+    begins = np.array(walked, np.int64)
+    for jump in reversed(jumps[:-1]):
+        begins = np.stack([begins, jump[begins]], 1).ravel()
+    begins = begins[begins < n]
     chosen = selector[begins]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for k, (count, bits) in enumerate(PACKS):
@@ -124,8 +132,27 @@ def ids_between(words: np.ndarray, offsets: np.ndarray, escaped: np.ndarray, beg
     return got[begin - base : end - base]
 
 
-#: A chunk that is a word of lower-case letters, then punctuation: both are pre-tokens, and neither changes when normalised.
-SIMPLE = re.compile("([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
+#: A line that is a word of lower-case letters, then punctuation: both are pre-tokens, and neither changes when normalised.
+LINE = re.compile("^(?:([a-zß-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)|([^\n]+))$", re.MULTILINE)
+
+
+class Pool:
+    """Numbers for strings, in order of first sight, and the ids of each, end to end."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: defaultdict = defaultdict(itertools.count().__next__)
+        self.ids, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def codes(self, strings: list[str]) -> np.ndarray:
+        codes = np.fromiter(map(self.index.__getitem__, strings), np.int64, len(strings))
+        if len(self.index) > len(self.counts):
+            ids, counts = self.encode(list(itertools.islice(self.index, len(self.counts), None)))
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        return codes
 
 
 class WordEncoder:
@@ -146,33 +173,43 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.heads, self.tails, self.memo = {}, {}, Memo(self.learn, 1_000_000)
-
-    def head_ids(self, words: list[str]) -> None:
-        """Learns words of lower-case letters."""
-        for w in words:
-            if w.isascii():
-                self.heads[w] = [t.id for t in self.bare.model.tokenize(w)]
-        rest = [w for w in words if not w.isascii()]
-        for i in range(0, len(rest), 1000):
-            ids = np.array(self.bare.encode(" ".join(rest[i : i + 1000]), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            for w, part in zip(rest[i : i + 1000], np.split(ids, ends[:-1])):
-                self.heads[w] = part.tolist()
+        self.heads, self.others = Pool(self.head_ids), Pool(self.other_ids)
+        self.memo = Memo(self.learn, 1_000_000)
+
+    def head_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number per word) of words of lower-case letters, many to a call."""
+        lines = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+        got = [np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *got])
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer doesn't close each word with one piece")
+        return ids, np.diff(ends, prepend=0)
+
+    def other_ids(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        counts = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(counts.sum())), counts
 
     def learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not self.memo.known:
-            self.ids, self.heads, self.tails = np.zeros(0, np.uint32), {}, {}
-        texts = [c.decode() for c in chunks]
-        found = [m.groups() if (m := SIMPLE.fullmatch(t)) else None for t in texts]
-        self.head_ids([*{f[0] for f in found if f} - self.heads.keys()])
-        for tail in {f[1] for f in found if f} - self.tails.keys():
-            self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
-        other = iter(self.tokenizer.encode_batch_fast([t for t, f in zip(texts, found) if not f], add_special_tokens=False))
-        got = [self.heads[f[0]] + self.tails[f[1]] if f else next(other).ids for f in found]
-        counts = np.fromiter(map(len, got), np.int64, len(got))
+            self.ids = np.zeros(0, np.uint32)
+            self.heads.clear(), self.others.clear()
+        found = LINE.findall(b"\n".join(chunks).decode())
+        # each chunk is a head, which may be empty, and something after it, which may be empty
+        heads, others = self.heads.codes([h for h, _, _ in found if h]), self.others.codes([t or o for _, t, o in found if t or o])
+        has = np.array([[bool(h), bool(t or o)] for h, t, o in found], bool).reshape(-1, 2)
+        pool = np.concatenate([self.heads.ids, self.others.ids])
+        sizes = np.concatenate([self.heads.counts, self.others.counts])
+        begins = np.cumsum(sizes) - sizes
+        which = np.zeros(has.shape, np.int64)
+        which[has[:, 0], 0] = heads
+        which[has[:, 1], 1] = len(self.heads.counts) + others
+        n = np.where(has, sizes[which] if len(sizes) else 0, 0)
+        new = pool[ragged(np.where(has, begins[which] if len(sizes) else 0, 0).ravel(), n.ravel())]
+        counts = n.sum(1)
         starts = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(counts.sum()))])
+        self.ids = np.concatenate([self.ids, new])
         return starts, counts
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
