@@ -94,7 +94,7 @@ def raw_features(spark: SparkSession, path: str) -> DataFrame:
         for t in batches:
             yield pd.DataFrame({"feature": [json.dumps(f) for text in t["value"] for f in features(text, False)]})
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(split, "feature string")
+    return spark.read.text(path, wholetext=True).mapInPandas(split, "feature string")
 
 
 def read_geojson(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -329,7 +329,7 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     stem = path.removesuffix(".shp")
     files = spark.read.format("binaryFile").load([f"{stem}.shp", f"{stem}.dbf"])
     fields, _ = dbf_table(bytes(files.filter(F.col("path").endswith(".dbf")).select("content").first()[0]))
-    prj = spark.read.option("wholetext", True).text(stem + ".prj").first() if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stem + ".prj").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stem + ".prj")) else None
+    prj = spark.read.text(stem + ".prj", wholetext=True).first() if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stem + ".prj").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stem + ".prj")) else None
     kind = lambda t, d: BooleanType() if t == "L" else DoubleType() if t == "F" or (t == "N" and d) else LongType() if t == "N" else StringType()
     schema = StructType([*(StructField(n, kind(t, d)) for n, t, _, d in fields), StructField("geometry", BinaryType())])
 

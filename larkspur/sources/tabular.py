@@ -111,7 +111,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: b
         reader = reader.option("timestampFormat", time_format)
     if skip_rows:
         # the rows to skip are the first of each file, so lines are numbered by file
-        lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n"))).filter((F.col("pos") >= skip_rows + header) & (F.col("col") != ""))
+        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n"))).filter((F.col("pos") >= skip_rows + header) & (F.col("col") != ""))
         df = lines.select(F.from_csv("col", ", ".join(f"`{f.name}` string" for f in schema.fields), {"sep": delimiter} | ({"comment": comment} if comment else {})).alias("r")).select("r.*")
     else:
         df = reader.csv(path)
