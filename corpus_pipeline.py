@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontam, rules, sampling, simhash, toxicity
+from larkspur.llm import decontam, nearcopies, rules, sampling, toxicity
 from larkspur.llm.common import shared_dir, table
 from larkspur.llm.queries import vocabulary_path
 
@@ -24,7 +24,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(docs)
+    """One document of those that links of 0.8 of the five-word shingles join, each link verified."""
+    return nearcopies.near_dedup(docs, words=5, similarity=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("quality rules", drop_poor), ("near copies", drop_near_copies), ("benchmark", drop_benchmark), ("segmentations", segment)]
 
-#: No SQL states a fitted model, SimHash or sampled segmentations.
+#: No SQL states a fitted model, near copies or sampled segmentations.
 ORACLE_SQL = None
 
 
