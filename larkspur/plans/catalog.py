@@ -229,6 +229,28 @@ for _how, _clause in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT
 for _how, _clause in (("semi", "SEMI JOIN"), ("anti", "ANTI JOIN")):
     register_join(_how, f"SELECT c_custkey, c_nationkey, l.n_name FROM {LEFT} l {_clause} {RIGHT} r ON c_nationkey = n_nationkey")
 
+# the same over the whole tables; shifted keys match nothing, on both sides
+ALL_RIGHT = "(SELECT CASE WHEN n_nationkey >= 20 THEN n_nationkey + 1000 ELSE n_nationkey END AS n_nationkey, n_name, n_regionkey FROM nation)"
+ALL_LEFT = "(SELECT c_custkey, c_nationkey, c_name AS n_name FROM customer)"
+
+
+def all_sides(t):
+    left = t("customer").select("c_custkey", "c_nationkey", F.col("c_name").alias("n_name"))
+    key = F.when(F.col("n_nationkey") >= 20, F.col("n_nationkey") + 1000).otherwise(F.col("n_nationkey")).alias("n_nationkey")
+    return left, t("nation").select(key, "n_name", "n_regionkey")
+
+
+def register_whole_join(how: str, sql: str) -> None:
+    def run(t):
+        return joins.join(*all_sides(t), "c_nationkey", "n_nationkey", how)
+
+    run.__name__ = f"join_{how}_all"
+    query(sql)(run)
+
+
+for _how in ("inner", "left", "right", "full", "semi", "anti"):
+    register_whole_join(_how, _sql[f"join_{_how}"].replace(LEFT, ALL_LEFT).replace(RIGHT, ALL_RIGHT))
+
 
 @query("SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def join_star(t):

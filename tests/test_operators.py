@@ -142,3 +142,12 @@ def test_streaming_resample_equals_batch(spark, tmp_path):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.queries()["filter_expr"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice" in plan and "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "semi", "anti"])
+def test_whole_joins_read_every_customer(spark, how):
+    customers, nations = spark.range(1000).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey", "'c' AS c_name"), spark.range(25).selectExpr("CAST(id AS INT) AS n_nationkey", "'n' AS n_name", "0 AS n_regionkey")
+    tables = {"customer": customers, "nation": nations}
+    found = joins.join(*catalog.all_sides(tables.__getitem__), "c_nationkey", "n_nationkey", how)
+    assert found.count() == {"inner": 800, "left": 1000, "right": 805, "full": 1005, "semi": 800, "anti": 200}[how]
+    assert f"join_{how}_all" in catalog.queries()
