@@ -9,7 +9,7 @@ import time
 from larkspur.plans import catalog
 from larkspur.session import session
 
-HEADLINE = ["filter_expr", "project_with_column", "agg_pricing_summary", "agg_kinds", "agg_filtered", "agg_mode", "agg_pivot", "join_inner_all", "join_star", "over_partition", "shift_and_diff", "rolling_rows", "rolling_time", "resample_every", "unique_first", "explode_list", "list_functions", "set_intersect", "haversine_distance", "geo_points", "geo_measures", "geo_spatial_join", "geo_reproject"]
+HEADLINE = ["filter_expr", "project_with_column", "agg_pricing_summary", "agg_kinds", "agg_filtered", "agg_mode", "agg_pivot", "join_inner_all", "join_star", "over_partition", "shift_and_diff", "rolling_rows", "rolling_time", "resample_every", "unique_first", "explode_list_all", "list_functions", "set_intersect", "haversine_distance", "geo_points", "geo_measures", "geo_spatial_join", "geo_reproject"]
 
 
 def main() -> None:

@@ -82,6 +82,11 @@ def explode_list(t):
     return frame.explode(df, "x")
 
 
+@query("SELECT vec_id, unnest(embedding) AS x FROM embeddings")
+def explode_list_all(t):
+    return frame.explode(t("embeddings").select("vec_id", F.col("embedding").alias("x")), "x")
+
+
 @query("SELECT p_brand, p_size, p_partkey FROM part ORDER BY p_size DESC, p_brand, p_partkey LIMIT 40")
 def sort_top_k(t):
     return frame.head(t("part").select("p_brand", "p_size", "p_partkey"), 40, ("p_size", True), "p_brand", "p_partkey")

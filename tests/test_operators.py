@@ -151,3 +151,8 @@ def test_whole_joins_read_every_customer(spark, how):
     found = joins.join(*catalog.all_sides(tables.__getitem__), "c_nationkey", "n_nationkey", how)
     assert found.count() == {"inner": 800, "left": 1000, "right": 805, "full": 1005, "semi": 800, "anti": 200}[how]
     assert f"join_{how}_all" in catalog.queries()
+
+
+def test_explode_list_all_gives_every_element(spark):
+    elements = spark.read.parquet(f"{SF}/embeddings.parquet").agg(F.sum(F.size("embedding"))).first()[0]
+    assert catalog.queries()["explode_list_all"](spark, SF).count() == elements
