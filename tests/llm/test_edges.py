@@ -214,3 +214,9 @@ def test_pipeline_stages_take_what_comes(spark, docs):
             out = stage(spark, frame, sf_dir)
             assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
             out.count()
+
+
+def test_op8_counts_alone_find_the_template(spark):
+    body = lambda i: f"<div class=x>Our long story about things</div><p>Page {i} says {i * 7} words</p>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<html><body>{body(i)}</body></html>") for i in range(8)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.extract(pages).collect()} == {i: f"Page {i} says {i * 7} words" for i in range(8)}
