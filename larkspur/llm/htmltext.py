@@ -2,8 +2,8 @@
 
 The html is read into a tree. Every container element (a division, list, table, navigation, footer ...) is
 hashed with all that is below it; Spark counts, per host, on how many differently worded pages
-each hash occurs, and subtrees that recur on many pages of a host are that host's template and are
-deleted. A copied page counts once, so that copies don't make an article a template; elements that
+each hash occurs, and subtrees that recur on many pages of a host, or of a section (first path part) of it,
+are that host's template and are deleted. A copied page counts once, so that copies don't make an article a template; elements that
 hold the page's article are never deleted, and inside it neither are paragraphs, headings and
 lists without a class, which may quote the same line on many pages. What a single page shows to be no content
 goes as well: scripts, styles, forms, navigation, and elements whose class, id or role says so (notices,
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import arrow_map, durable, with_fields
 
-#: A subtree is template if it occurs on so many distinct pages of its host at least, and on this share of them.
+#: A subtree is template if it occurs on so many distinct pages of its host at least, and on this share of them, or so of a section's pages.
 LEAST_PAGES, LEAST_SHARE = 4, 0.3
 #: Template hashes (16 bytes each) up to this number are broadcast; beyond it they are joined.
 BROADCAST_MOST = 1_000_000
@@ -193,28 +193,36 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def section_of(url):
+    """Column: the first part of the path, if more of the path follows; null if there is none."""
+    part = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+    return F.when(part != "", part)
+
+
 def templates(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """(host, digest) of the subtrees that recur on many pages of a host."""
-    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(source).alias("html"))
+    """(host, digest) of the subtrees that recur on many pages of a host, or of one of its sections."""
+    rows = pages.select(host_of(F.col(url)).alias("host"), section_of(F.col(url)).alias("section"), F.col(source).alias("html"))
 
     def work(batch: pa.RecordBatch):
         found: Counter = Counter()
-        for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for host, section, text in zip(*(c.to_pylist() for c in batch.columns)):
             root = parse(text or "")
             page, may = digests(root, articles(root))
-            found[host, page, None] = 1
-            for node in may:
-                found[host, page, node.digest] = 1
-        hosts, page, digest = zip(*found) if found else ((), (), ())
+            for part in {None, section}:
+                found[host, part, page, None] = 1
+                for node in may:
+                    found[host, part, page, node.digest] = 1
+        hosts, sections, page, digest = zip(*found) if found else ((), (), (), ())
         signed = lambda values: pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), signed(page), signed(digest)], ["host", "page", "digest"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(sections, pa.string()), signed(page), signed(digest)], ["host", "section", "page", "digest"])
 
-    # one row per host, page and subtree; the null digest counts the pages themselves
-    once = arrow_map(rows, work, "host string, page long, digest long").distinct()
-    counts = durable(once.groupBy("host", "digest").count())
-    pages_of = counts.filter("digest IS NULL").select("host", F.col("count").alias("pages"))
+    # one row per host, section, page and subtree; the null section is the host as a whole, the null digest counts the pages themselves
+    once = arrow_map(rows, work, "host string, section string, page long, digest long").distinct()
+    counts = durable(once.groupBy("host", "section", "digest").count())
+    pages_of = counts.filter("digest IS NULL").select(F.col("host").alias("of"), F.col("section").alias("part"), F.col("count").alias("pages"))
     enough = counts.filter(F.col("digest").isNotNull() & (F.col("count") >= LEAST_PAGES))
-    return enough.join(pages_of, "host").filter(F.col("count") >= LEAST_SHARE * F.col("pages")).select("host", "digest")
+    met = enough.join(pages_of, (F.col("host") == F.col("of")) & F.col("section").eqNullSafe(F.col("part")))
+    return met.filter(F.col("count") >= LEAST_SHARE * F.col("pages")).select("host", "digest").distinct()
 
 
 def extract(pages: DataFrame, url: str = "url", source: str = "html", text: str = "text", broadcast_most: int = BROADCAST_MOST) -> DataFrame:

@@ -220,3 +220,10 @@ def test_op8_counts_alone_find_the_template(spark):
     body = lambda i: f"<div class=x>Our long story about things</div><p>Page {i} says {i * 7} words</p>"
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<html><body>{body(i)}</body></html>") for i in range(8)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in htmltext.extract(pages).collect()} == {i: f"Page {i} says {i * 7} words" for i in range(8)}
+
+
+def test_op8_section_of_a_large_host(spark):
+    side = "<div class=x>Only this section says so</div>"
+    rows = [(i, f"http://h/{'news' if i < 6 else 'other'}/{i}", f"<html><body>{side if i < 6 else ''}<p>Page {i}</p></body></html>") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.extract(pages).collect()} == {i: f"Page {i}" for i in range(60)}
