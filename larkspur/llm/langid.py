@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Memo, about, arrow_map, slices, sums, with_fields
+from larkspur.llm.common import Memo, arrow_map, slices, sums, with_fields
 from larkspur.llm.pieces import SPACE, Lattice, vocabulary
 
 LONGEST = 40
 LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 #: Labelled texts that are learned from, in all, and rounds of expectation-maximisation.
 SAMPLE, ROUNDS = 800, 3
+#: The least number of texts to draw of a language, where it has so many.
+LEAST = 16
 #: Added to each piece's expected count, and the odds of a byte that stands for an unlisted character.
 SMOOTH, BYTE = 0.05, 1e-4
 
@@ -115,9 +117,17 @@ def scorer(path: str, languages: tuple[str, ...], raw: bytes) -> Scorer:
 
 
 def fit(docs: DataFrame, path: str, learn_from: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Learns from about ``sample`` of the rows that ``learn_from`` marks and that have text and language."""
+    """Learns from about ``sample`` of the rows that ``learn_from`` marks and that have text and language.
+
+    The sample is drawn per language, an equal number of each or all that there are, so that none is missed; of very many
+    languages ``LEAST`` rows each make it larger.
+    """
     labelled = docs.filter(learn_from & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    chosen = about(labelled, sample, key, lang)
+    numbers = labelled.groupBy(F.col(lang).alias("__lang")).count().collect()
+    each = max(LEAST, sample // max(1, len(numbers)))
+    below = docs.sparkSession.createDataFrame([(r[0], int(min(1.0, each / r[1]) * (1 << 40))) for r in numbers], "__lang string, __below long")
+    drawn = F.pmod(F.xxhash64(key, lang), F.lit(1 << 40)) < F.col("__below")
+    chosen = labelled.join(F.broadcast(below), F.col(lang) == F.col("__lang")).filter(drawn)
 
     def count(batch: pa.RecordBatch):
         for language, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -227,3 +227,10 @@ def test_op8_section_of_a_large_host(spark):
     rows = [(i, f"http://h/{'news' if i < 6 else 'other'}/{i}", f"<html><body>{side if i < 6 else ''}<p>Page {i}</p></body></html>") for i in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in htmltext.extract(pages).collect()} == {i: f"Page {i}" for i in range(60)}
+
+
+def test_op1_learns_a_rare_language(spark):
+    common = spark.range(20_000).selectExpr("id AS doc_id", "concat('the house and the garden ', id) AS text", "'en' AS lang")
+    rare = spark.range(3).selectExpr("id + 50000 AS doc_id", "concat('talo ja puutarha ', id) AS text", "'fi' AS lang")
+    languages, _ = langid.fit(common.union(rare), PIECES, F.lit(True))
+    assert sorted(languages) == ["en", "fi"]
