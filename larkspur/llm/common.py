@@ -125,6 +125,29 @@ class Memo:
         return tuple(part[0] for part in self.parts)
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.empty(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    @property
+    def now(self) -> np.ndarray:
+        return self.room[: self.size]
+
+    def add(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.room):
+            room = np.empty(max(size, len(self.room) * 3 // 2), self.room.dtype)
+            room[: self.size] = self.now
+            self.room = room
+        self.room[self.size : size] = values
+        self.size = size
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A well-mixed 64-bit value for each unsigned 64-bit value."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

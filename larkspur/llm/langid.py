@@ -39,7 +39,8 @@ def levels(lattice: Lattice, nodes: np.ndarray) -> tuple[np.ndarray, list[tuple[
     """The edges' order by the place of ``nodes`` in their words, and each place's range in it."""
     word = np.searchsorted(lattice.first, nodes, "right") - 1
     place = nodes - lattice.first[word]
-    order = np.lexsort((nodes, place))
+    place = place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place  # sorted by counting if narrow
+    order = np.argsort(place, kind="stable") if (nodes[1:] >= nodes[:-1]).all() else np.lexsort((nodes, place))
     cuts = np.flatnonzero(np.r_[True, np.diff(place[order]) != 0, True]) if len(order) else np.zeros(1, int)
     return order, list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
 

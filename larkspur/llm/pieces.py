@@ -32,7 +32,7 @@ class Lattice:
 
     def begins(self) -> np.ndarray:
         """The place of each node's first edge, and the number of edges at the end."""
-        return np.searchsorted(self.source, np.arange(int(self.length.sum()) + len(self.length) + 1))
+        return np.r_[0, np.cumsum(np.bincount(self.source, minlength=int(self.length.sum()) + len(self.length)))]
 
 
 class Vocabulary:
@@ -70,6 +70,23 @@ class Vocabulary:
             own = own[np.argsort(hashes[own])]
             self.tables[int(n)] = hashes[own], self.plain[own]
 
+        #: Characters of pieces of two and more, numbered from 1, and which two stand side by side in one.
+        longer = [c for c in chars if len(c) > 1]
+        self.kind = np.zeros(0x110000, np.uint16)
+        inside = np.unique(np.concatenate(longer))
+        self.kind[inside] = np.arange(1, len(inside) + 1)
+        self.beside = np.zeros((len(inside) + 1, len(inside) + 1), bool)
+        for c in longer:
+            self.beside[self.kind[c[:-1]], self.kind[c[1:]]] = True
+
+    def cuts(self, text: str, forced: np.ndarray) -> np.ndarray:
+        """The places where a run of characters begins, no piece going across from the one before, with those ``forced``."""
+        kinds = self.kind[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        begins = np.zeros(len(kinds), bool)
+        begins[forced] = True
+        begins[1:] |= ~self.beside[kinds[:-1], kinds[1:]]
+        return np.flatnonzero(begins)
+
     @staticmethod
     def spread(chars: np.ndarray) -> np.ndarray:
         return mix(chars.astype(np.uint64) + np.uint64(0x51ED270B))
