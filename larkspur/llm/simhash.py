@@ -11,7 +11,8 @@ leaves a shard is a spanning forest of its links, and rounds of contraction join
 these into components.
 
 A text without words has the fingerprint zero, and so is linked like any other; a null
-text counts as empty. Repeated rows share a fingerprint. An empty table gives an empty result.
+text counts as empty. Repeated rows share a fingerprint. An empty table gives an empty result. Very long texts are worked on
+whole. Only key and text are read; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,34 +25,41 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import about, arrow_map, durable, with_fields
+from larkspur.llm.common import about, arrow_map, durable, fresh, with_fields
 
-#: Home fingerprints that a shard should hold, and those that a split in memory stops at.
-SHARD, SMALL = 16_384, 512
+#: Home fingerprints that a shard should hold: one of so many of all, and the least and most; and those that a split in memory stops at.
+#: The fewer the shards, the fewer fingerprints visit several; a shard of the most takes 8 MB besides its guests.
+SHARD_SHARE, SHARD_LEAST, SHARD_MOST, SMALL = 256, 1 << 14, 1 << 20, 512
 #: The tree's sample: one fingerprint of so many, and the least and most of it.
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 16, 1 << 13, 1 << 19
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of a text's word shingles, repeats included."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included."""
     parts = (text or "").encode().lower().split()  # bytes: only A-Z and ASCII white space count
     if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), SEED)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
-    digest, n = xxhash.xxh64_intdigest, words - 1
-    found = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - n].tolist(), ends[n:].tolist())]
-    hashes = np.array(found, np.uint64)
+    digest, n = xxhash.xxh64_intdigest, min(words, len(parts)) - 1
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - n].tolist(), ends[n:].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     bits = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         bits += np.unpackbits(hashes[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, np.int64)
     return int.from_bytes(np.packbits(2 * bits > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The SimHash of a text's word shingles, repeats included."""
+    return majority(shingles(text, words))
+
+
 def fingerprints(rows: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
     """``rows`` with ``fp``, the fingerprint's 64 bits as a signed long, in place of ``text``."""
     rows = rows.select(*(c for c in rows.columns if c not in (text, "fp")), text)
@@ -164,11 +172,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[root[moved]]
 
 
-def links(points: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
+def links(points: DataFrame, radius: int = 2, shard: int | None = None) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fp`` that join just those that paths of near pairs join."""
     spark, total = points.sparkSession, points.count()
     wanted = min(SAMPLE_MOST, max(SAMPLE_LEAST, total // SAMPLE_SHARE))
     sample = np.array([r[0] for r in about(points.select("fp"), wanted, "fp").collect()], np.int64).view(np.uint64)
+    shard = shard or min(SHARD_MOST, max(SHARD_LEAST, total // SHARD_SHARE))
     leaves = [0]
     tree = grow(np.sort(sample), max(8, shard * len(sample) // max(1, total)), radius, leaves)
     shared = spark.sparkContext.broadcast(tree)
@@ -194,14 +203,17 @@ def links(points: DataFrame, radius: int = 2, shard: int = SHARD) -> DataFrame:
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of the links (a, b) the least node of its component.
 
-    In each round a node is contracted into the least of itself and its neighbours. The
+    In each round a node is contracted into that of itself and its neighbours which is first in an order of the round's own, so
+    that a chain of any length loses more than half of its nodes a round. The
     nodes left are roots of trees; going back through the rounds gives each node its root.
     """
     edges = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds = []
     while not edges.isEmpty():
+        by = lambda node, turn=len(rounds): F.struct(F.xxhash64(node, F.lit(turn)).alias("by"), F.col(node).alias("low"))
         both = edges.union(edges.select("b", "a"))
-        step = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("low")))
+        least = both.groupBy("a").agg(F.min(by("b")).alias("best"))
+        step = durable(least.select(F.col("a").alias("node"), F.least("best", by("a"))["low"].alias("low")))
         rounds.append(step)
         left = step.select(F.col("node").alias("a"), F.col("low").alias("x"))
         right = step.select(F.col("node").alias("b"), F.col("low").alias("y"))
@@ -213,7 +225,9 @@ def roots(edges: DataFrame) -> DataFrame:
     for step in reversed(rounds):
         later = found.withColumnRenamed("node", "low")
         found = step.join(later, "low", "left").select("node", F.coalesce("root", "low").alias("root"))
-    return found
+    found = durable(found)
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return found.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 def named(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -241,9 +255,9 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Of rows that repeat with key and text one stays. Rows are known by 128 bits of hashes of
     key and text, so that the texts are shuffled once, for the final selection.
     """
-    marks = {"__a": F.xxhash64(key, text), "__b": F.xxhash64(text, key, F.lit(1))}
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(c.alias(n) for n, c in marks.items()))
+    marks = dict(zip(fresh(docs, "a", "b"), (F.xxhash64(key, text), F.xxhash64(text, key, F.lit(1)))))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *(c.alias(n) for n, c in zip("ab", marks.values())))
     prints = named(durable(fingerprints(rows, "text", words)), radius)
-    first = prints.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "__a", "__b")).alias("first"))
-    kept = first.select("first.__a", "first.__b")
-    return docs.withColumns(marks).join(kept, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select(*docs.columns)
+    first = prints.groupBy("component").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "a", "b")).alias("first"))
+    kept = first.select(*(F.col(f"first.{x}").alias(n) for x, n in zip("ab", marks)))
+    return docs.withColumns(marks).join(kept, list(marks), "left_semi").dropDuplicates(list(marks)).select(*docs.columns)

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from larkspur.llm import nearcopies
+from larkspur.llm import nearcopies, simhash
 
 
 def sets_of(texts):
@@ -66,10 +66,26 @@ def test_stage_equals_all_pairs(spark):
     assert sorted(r.doc_id for r in found.collect()) == kept_by_all_pairs(rows)
 
 
-def test_common_shingles_set_the_order_only(spark, monkeypatch):
+def test_rounds_and_broadcasts_set_the_order_only(spark, monkeypatch):
     rows = list(enumerate(texts_with_copies()))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(nearcopies, "COMMON_MOST", 3)
     monkeypatch.setattr(nearcopies, "STARS", 0)
     monkeypatch.setattr(nearcopies, "BROADCAST_MOST", -1)
     assert sorted(r.doc_id for r in nearcopies.near_dedup(docs).collect()) == kept_by_all_pairs(rows)
+
+
+def test_samples_find_pairs_at_the_bar():
+    """Pairs of a similarity of 0.8 share a fingerprint but in 1 of 300 cases."""
+    rng, missed = np.random.default_rng(2), 0
+    for _ in range(500):
+        common, own = rng.integers(0, 2**63, 160).astype(np.uint64), rng.integers(0, 2**63, 40).astype(np.uint64)
+        a, b = (np.unique(np.r_[common, part]) for part in (own[:20], own[20:]))
+        missed += not np.intersect1d(nearcopies.fingerprints(a, a), nearcopies.fingerprints(b, b)).size
+    assert missed <= 6
+
+
+def test_columns_may_have_any_name(spark):
+    rows = [(1, "one two three four five six", 77, 5), (2, "one two three four five six", 78, 6), (3, None, 79, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __a long, fp long")
+    for dedup in (nearcopies.near_dedup, simhash.near_dedup):
+        assert sorted(map(tuple, dedup(docs).collect())) == [rows[0], rows[2]]
