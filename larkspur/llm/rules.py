@@ -1,13 +1,17 @@
 """Quality rules combined by weak supervision, in DataFrame functions only.
 
-Counts of each text feed rules that vote that it is good, that it is bad, or abstain. Rules are
+Counts of each text feed rules that vote that it is good, that it is bad, or abstain. Each rule looks at something of its own, so that
+their errors may be taken as independent: symbols, letters among the other characters, capitals among the letters,
+words that are common in any text of a language, repeats, equal lines, ends of lines, lengths. Rules are
 not trusted alike: expectation-maximisation over the patterns of votes of all documents (three
 votes to the power of the rules at most, whatever the input) estimates how often each rule gives
 each vote on good and on bad texts, and a text stays if the posterior probability that it is good reaches
-``KEEP``. Texts that fail the base rules are out beforehand and don't enter the estimate.
+``KEEP``. A good vote never speaks against a text nor a bad one for it, so that the classes can't change places, and no rule counts for
+more than ``TRUST`` to 1, so that none decides alone against the others. Texts that fail the base rules are out beforehand and don't enter the estimate.
 
 A word is a run of characters other than the six ASCII white-space ones. Null and empty texts have
-no words, fail the base rules and are not kept. Repeated rows are judged alike and each counts in the estimate.
+no words, fail the base rules and are not kept. Repeated rows are judged alike and each counts in the estimate. Very long texts are
+worked on whole. An empty table gives an empty table. Only key and text are read; further columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,15 +22,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable, stored
+from larkspur.llm.common import durable, fresh, stored
 
 KEEP = 0.5
-#: Rounds of expectation-maximisation, and what is added to each vote's expected count.
-ROUNDS, SMOOTH = 25, 1.0
+#: Rounds of expectation-maximisation; the share of each class that is added as votes in the proportion of all texts; the most that a rule counts for.
+ROUNDS, SMOOTH, TRUST = 60, 0.01, 19
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+# The commonest words of English, French, German and Spanish.
+COMMON = "the of and to in is that for it was on are as with be this from or an by not le la les de des du et un une est dans que qui pour sur pas avec au en der die das und ist ein eine den von zu mit auf für nicht im dem sich el los las y del por con para se no su al lo".split()
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_common", "n_ended"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -60,17 +66,22 @@ def repeated(words: Column) -> Column:
 def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, the counts of ``COUNTS``), all long."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key).alias(key), whole.alias("whole"))
-    split = base.select(key, "whole", F.array_remove(F.split("whole", r"[\x20\x09-\x0D]+"), "").alias("words"), F.filter(F.split("whole", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    base = docs.select(F.col(key).alias("key"), whole.alias("whole"))
+    split = base.select("key", "whole", F.array_remove(F.split("whole", r"[\x20\x09-\x0D]+"), "").alias("words"), F.filter(F.split("whole", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    only = lambda kind: F.char_length(F.regexp_replace("whole", f"[^{kind}]+", ""))
     found = {
         "n_words": F.size("words"),
         "word_chars": F.char_length(F.array_join("words", "")),
-        "n_symbols": F.char_length(F.regexp_replace("whole", f"[^{SYMBOLS}]+", "")),
+        "n_symbols": only(SYMBOLS),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": F.when(F.size("words") < 4, 0).otherwise(repeated(F.col("words"))),
         "n_lines": F.size("lines"),
+        "n_letters": only(r"\p{L}\p{M}"),
+        "n_capitals": only(r"\p{Lu}"),
+        "n_common": F.size(F.filter("words", lambda w: F.lower(w).isin(COMMON))),
+        "n_ended": F.size(F.filter("lines", lambda x: x.rlike(r"[.!?\u2026\u3002][\"'\u00BB\u201D\u2019)]*[\x20\x09-\x0D]*$"))),
     }
-    return split.select(key, *(c.cast("long").alias(n) for n, c in found.items()))
+    return split.select("key", *(c.cast("long").alias(n) for n, c in found.items()))
 
 
 def base_failed() -> Column:
@@ -79,36 +90,41 @@ def base_failed() -> Column:
 
 def votes() -> dict[str, Column]:
     """Each rule's vote: 1 good, -1 bad, 0 abstains."""
-    words, length = F.col("n_words"), F.col("word_chars") / F.col("n_words")
-    share = lambda part, whole: F.col(part) / F.greatest(F.col(whole), F.lit(1))
+    share = lambda part, whole: F.col(part) / F.greatest(whole, F.lit(1))
     vote = lambda good, bad: F.when(bad, -1).when(good, 1).otherwise(0)
-    symbols, of_chars, repeats, lines = share("n_symbols", "n_words"), share("n_symbols", "word_chars"), share("n_repeat_words", "n_words"), share("n_dup_lines", "n_lines")
+    words, lines, length = F.col("n_words"), F.col("n_lines"), F.col("word_chars") / F.col("n_words")
+    symbols, letters, capitals = share("n_symbols", words), share("n_letters", F.col("word_chars") - F.col("n_symbols")), share("n_capitals", F.col("n_letters"))
+    common, repeats, same, ended = share("n_common", words), share("n_repeat_words", words), share("n_dup_lines", lines), share("n_ended", lines)
     return {
-        "length": vote(words >= 100, words < 55),
+        "length": vote(words >= 100, F.lit(False)),
         "word_length": vote(length.between(3.0, 10.0), (length < 2.5) | (length > 14.0)),
         "symbols": vote(symbols <= 0.05, symbols > 0.15),
-        "symbol_share": vote(of_chars <= 0.01, of_chars > 0.03),
-        "repeats": vote(repeats <= 0.25, repeats > 0.40),
-        "lines": vote(lines <= 0.30, lines > 0.60),
+        "letters": vote(letters >= 0.90, letters < 0.75),
+        "capitals": vote(capitals <= 0.12, capitals > 0.30),
+        "common": vote(common >= 0.10, common < 0.04),
+        "repeats": vote(repeats <= 0.10, repeats > 0.25),
+        "lines": vote(same <= 0.10, same > 0.30),
+        "ended": vote(ended >= 0.80, ended < 0.40),
     }
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, float]]]:
     """(prior log-odds, for each rule and vote the log-odds that it adds) from the counts of vote patterns.
 
-    The first guess is that a text with any bad vote is bad.
+    At first each rule counts for e to 1.
     """
-    rules = len(patterns[0][0]) if patterns else 0
-    good = [0.05 if -1 in p else 0.95 for p, _ in patterns]
+    rules, whole, most = len(patterns[0][0]) if patterns else 0, sum(n for _, n in patterns), math.log(TRUST)
+    good = [1 / (1 + math.exp(-sum(p))) for p, _ in patterns]
     prior, odds = 0.0, [dict.fromkeys((-1, 0, 1), 0.0) for _ in range(rules)]
     for _ in range(ROUNDS if patterns else 0):
         total = [sum(n * (g if side else 1 - g) for (_, n), g in zip(patterns, good)) for side in (False, True)]
-        prior = math.log((total[True] + SMOOTH) / (total[False] + SMOOTH))
+        prior = math.log((total[True] + 1) / (total[False] + 1))
         for r in range(rules):
             for v in (-1, 0, 1):
-                chance = [(sum(n * (g if side else 1 - g) for (p, n), g in zip(patterns, good) if p[r] == v) + SMOOTH) / (total[side] + 3 * SMOOTH) for side in (False, True)]
-                odds[r][v] = math.log(chance[True] / chance[False])
-        good = [1 / (1 + math.exp(-max(-500.0, min(500.0, prior + sum(o[v] for o, v in zip(odds, p)))))) for p, _ in patterns]
+                usual = (sum(n for p, n in patterns if p[r] == v) + 1) / (whole + 3)
+                chance = [(sum(n * (g if side else 1 - g) for (p, n), g in zip(patterns, good) if p[r] == v) + (SMOOTH * total[side] + 1e-6) * usual) / (total[side] * (1 + SMOOTH) + 1e-6) for side in (False, True)]
+                odds[r][v] = max(0.0 if v > 0 else -most, min(0.0 if v < 0 else most, math.log(chance[True] / chance[False])))
+        good = [1 / (1 + math.exp(-prior - sum(o[v] for o, v in zip(odds, p)))) for p, _ in patterns]
     return prior, odds
 
 
@@ -118,7 +134,7 @@ def verdict(found: DataFrame) -> DataFrame:
     ``found`` is read twice: for the patterns of votes of all texts, and for the verdicts.
     """
     rules = votes()
-    names = [f"__v_{n}" for n in rules]
+    names = fresh(found, *rules)
     judged = found.withColumn("base_failed", base_failed()).withColumns(dict(zip(names, rules.values())))
     patterns = [(tuple(r[:-1]), r[-1]) for r in judged.filter("NOT base_failed").groupBy(*names).count().orderBy(*names).collect()]
     prior, odds = estimate(patterns)
@@ -131,10 +147,10 @@ def verdict(found: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, counts, base_failed, posterior, kept) for every row of ``docs``."""
-    return verdict(durable(counts(docs, key, text)))
+    return verdict(durable(counts(docs, key, text))).withColumnRenamed("key", key)
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is kept, judged with the estimate over all of them."""
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))
-    return verdict(stored(counts(rows, "__row", "__text"))).filter("kept").select("__row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return verdict(stored(counts(rows, "row", "text"))).filter("kept").select("key.*")
