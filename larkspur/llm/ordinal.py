@@ -1,11 +1,13 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
-P(grade > j) = logistic(w . x - threshold_j) with one weight vector over hashed features of
-the text and ordered thresholds, fitted together by Adam on a bounded sample of graded rows.
+P(grade <= j) = logistic(threshold_j - w . x) with one weight vector over hashed features of
+the text and ordered thresholds, the first one free and the steps between them powers of e. Both are fitted by Adam
+to the likelihood of the grades, P(grade = j) = P(grade <= j) - P(grade <= j - 1), on a bounded sample of graded rows.
 Features are the shares of a text's tokens that hash to each slot: the tokens themselves
 (space-separated), their shapes, bigrams of shapes, and marks for a token that repeats the one before.
 
-A null or empty text has no tokens and is scored by the thresholds alone. Rows that repeat score alike.
+A null or empty text has no tokens and is scored by the thresholds alone. Rows that repeat score alike. Very long texts are worked on whole.
+An empty table gives an empty table; without any graded row every expected grade is 0. Columns named as the results are replaced; others may have any name.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import about, arrow_map, slices, with_fields
+from larkspur.llm.common import about, arrow_map, one_text, slices, with_fields
 from larkspur.llm.hashed import Words, pair, slots, word_hashes
 
 BITS = 18
@@ -54,39 +56,55 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, list[tuple[np.ndarray
     return n, [(o, slots(h, BITS)) for o, h in parts]
 
 
+def likelihood(value: np.ndarray, cuts: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(-log P(grade), its slope by ``value``, its slopes by ``cuts``) for each row."""
+    bounds = np.clip(np.r_[-np.inf, cuts, np.inf][None, :] - value[:, None], -40, 40)
+    rows = np.arange(len(value))
+    upto = 1 / (1 + np.exp(-bounds))
+    upto[:, 0], upto[:, -1] = 0.0, 1.0
+    low, high = upto[rows, grade], upto[rows, grade + 1]
+    chance = np.maximum(high - low, 1e-15)
+    slopes = np.zeros((len(value), len(cuts) + 2))
+    slopes[rows, grade + 1] -= high * (1 - high) / chance
+    slopes[rows, grade] += low * (1 - low) / chance
+    return -np.log(chance), 1 - low - high, slopes[:, 1:-1]
+
+
+def cuts_of(steps: np.ndarray) -> np.ndarray:
+    """Thresholds from the first one and the logarithms of the steps between them."""
+    return np.cumsum(np.r_[steps[:1], np.exp(steps[1:])])
+
+
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], grades: int) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) from (slots, values, grade 0 .. grades - 1)."""
-    w, cuts = np.zeros(1 << BITS), np.linspace(-1, 1, grades - 1) if grades > 2 else np.zeros(max(0, grades - 1))
+    w, steps = np.zeros(1 << BITS), np.zeros(max(0, grades - 1))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    mc, vc = np.zeros_like(cuts), np.zeros_like(cuts)
-    order, t = np.random.default_rng(0), 0
+    mc, vc = np.zeros_like(steps), np.zeros_like(steps)
+    order = np.random.default_rng(0)
     for _ in range(PASSES if examples and grades > 1 else 0):
         rows = order.permutation(len(examples))
         for i in range(0, len(rows), STEP):
-            t += 1
             part = [examples[r] for r in rows[i : i + STEP]]
             n = np.array([len(p[0]) for p in part])
             at, x = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
             owner = np.repeat(np.arange(len(part)), n)
-            above = np.array([[p[2] > j for j in range(grades - 1)] for p in part], float)
-            value = np.bincount(owner, w[at] * x, len(part))
-            # the likelihood of a grade, as the product of "above" or "not above" each threshold
-            wrong = 1 / (1 + np.exp(-np.clip(value[:, None] - cuts, -30, 30))) - above
+            _, by_value, by_cut = likelihood(np.bincount(owner, w[at] * x, len(part)), cuts_of(steps), np.array([p[2] for p in part]))
             used, where = np.unique(at, return_inverse=True)
-            g = np.bincount(where, wrong.sum(1)[owner] * x) / len(part) + L2 * w[used]
+            g = np.bincount(where, by_value[owner] * x, len(used)) / len(part) + L2 * w[used]
             m[used], v[used] = 0.9 * m[used] + 0.1 * g, 0.99 * v[used] + 0.01 * g * g
             w[used] -= RATE * m[used] / (np.sqrt(v[used]) + 1e-6)
-            gc = -wrong.mean(0)
+            # a step moves its own threshold and all above
+            gc = np.cumsum(by_cut.mean(0)[::-1])[::-1] * np.r_[1.0, np.exp(steps[1:])]
             mc, vc = 0.9 * mc + 0.1 * gc, 0.99 * vc + 0.01 * gc * gc
-            cuts = np.sort(cuts - RATE * mc / (np.sqrt(vc) + 1e-6))  # sorted: thresholds stay ordered
-    return w, cuts
+            steps = steps - RATE * mc / (np.sqrt(vc) + 1e-6)
+    return w, cuts_of(steps)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, grade: str = "grade", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, learn_from: Column | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Learns from about ``sample`` graded keys; of a key's several grades the highest, nulls apart."""
+    """Learns from about ``sample`` graded keys; of a key's several grades the highest, nulls apart, and of its several texts one."""
     graded = ratings if learn_from is None else ratings.filter(learn_from)
     graded = graded.filter(F.col(grade).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(grade).cast("int").alias("grade"))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(about(graded, sample, "key")), "key").select("key", "text", "grade")
+    rows = one_text(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(about(graded, sample, "key")), "key"), "grade")
 
     def work(batch: pa.RecordBatch):
         texts, grades, keys = batch.column(1).to_pylist(), batch.column(2), batch.column(0)
