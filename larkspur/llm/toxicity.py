@@ -5,8 +5,9 @@ letters, as slots of a hash table. Every coordinate has its own learning rate, a
 term keeps a weight at zero until its gradients outweigh it, so what is broadcast is a
 short list of slots and weights. The model is fitted on a bounded sample of labelled rows.
 
-Null and empty texts score as the bias alone. Rows that repeat score alike. Without any labelled row
-every score is 0.
+Null and empty texts score as the bias alone. Rows that repeat score alike. Without any labelled row, as with none that is labelled 1,
+there is nothing to tell toxic texts by and every score is 0. Very long texts are worked on whole; an empty table gives an empty table.
+Further columns may have any name; one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import about, arrow_map, slices, with_fields
+from larkspur.llm.common import about, arrow_map, one_text, slices, with_fields
 from larkspur.llm.hashed import Words, grams, slots
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -46,7 +47,9 @@ def distinct(owner: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def train(examples: list[tuple[np.ndarray, int]]) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bias, slots, weights) by passes of FTRL-proximal over (slots, label)."""
+    """(bias, slots, weights) by passes of FTRL-proximal over (slots, label); the bias is -inf if no label is 1."""
+    if not any(label for _, label in examples):
+        return -np.inf, np.zeros(0, np.int64), np.zeros(0)
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last is the bias, which has no L1 term
     order = np.random.default_rng(0)
@@ -55,9 +58,9 @@ def train(examples: list[tuple[np.ndarray, int]]) -> tuple[float, np.ndarray, np
         w = -(z[at] - np.sign(z[at]) * L1 * (at < size)) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
         return np.where((np.abs(z[at]) <= L1) & (at < size), 0.0, w)
 
-    for _ in range(PASSES if examples else 0):
+    for _ in range(PASSES):
         for i in order.permutation(len(examples)):
-            at, label = np.append(examples[i][0], size), examples[i][1]
+            at, label = np.append(examples[i][0].astype(np.int64), size), examples[i][1]
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - label
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
@@ -70,11 +73,12 @@ def train(examples: list[tuple[np.ndarray, int]]) -> tuple[float, np.ndarray, np
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[float, np.ndarray, np.ndarray]:
     """Learns from about ``sample`` of the labelled keys that ``learn_from`` marks.
 
-    A key that is labelled more than once has the highest label; null labels don't count.
+    A key that is labelled more than once has the highest label; null labels don't count. Of several texts of a key one is taken, so that what is
+    learned from stays bounded however often a key repeats.
     """
     marked = labels.filter(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("label"))
     chosen = about(marked, sample, "key")  # bounded, so it may be broadcast
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "text", "label")
+    rows = one_text(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key"), "label")
 
     def work(batch: pa.RecordBatch):
         texts = batch.column(1).to_pylist()
@@ -86,7 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "to
 
     schema = with_fields(rows.select("key"), "label int, slots array<int>")
     found = arrow_map(rows, work, schema).toArrow().sort_by("key")
-    return train(list(zip((np.array(x, np.int64) for x in found["slots"].to_pylist()), found["label"].to_pylist())))
+    lists = found["slots"].combine_chunks() if len(found) else []
+    return train([(lists[i].values.to_numpy(), label) for i, label in enumerate(found["label"].to_pylist())])
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text: str = "text", out: str = "score") -> DataFrame:
@@ -107,6 +112,6 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], text: st
             used = dense[0][slot] != 0
             owner, slot = distinct(owner[used], slot[used])
             total[a:b] += np.bincount(owner, dense[0][slot], b - a)
-        yield batch.append_column(out, pa.array(1 / (1 + np.exp(-np.clip(total, -500, 500)))))
+        yield batch.append_column(out, pa.array(np.where(total > -np.inf, 1 / (1 + np.exp(-np.clip(total, -500, 500))), 0.0)))
 
     return arrow_map(docs, work, with_fields(docs, f"{out} double"))
