@@ -3,18 +3,20 @@
 Each language has a probability for every piece of a fixed public vocabulary, learned by
 expectation-maximisation over all segmentations of sample words. A word's probability in a
 language is the sum over all its segmentations, by the forward algorithm; a text's
-is the product over its words, a word being a run of letters, lower-cased (one longer
-than ``LONGEST`` is scored in parts). Only words' letters count, so a text without any is
-``und`` with score 0; so is a null one. Equal scores go to the alphabetically first language.
+is the product over its words, a word being a run of letters and the marks on them, lower-cased (one longer
+than ``LONGEST`` is scored in parts). Only these count, so a text without a letter is
+``und`` with score 0; so is a null one. Equal scores go to the alphabetically first language. Rows that repeat get the same
+language, very long texts are worked on whole, an empty table gives an empty table, and without any labelled text every text is ``und``.
+Columns named as the results are replaced; others may have any name.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from larkspur.llm.common import Memo, arrow_map, slices, sums, with_fields
 from larkspur.llm.pieces import SPACE, Lattice, vocabulary
 
 LONGEST = 40
-LETTERS = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]{0,%d}" % (LONGEST - 1))
 #: Labelled texts that are learned from, in all, and rounds of expectation-maximisation.
 SAMPLE, ROUNDS = 800, 3
 #: The least number of texts to draw of a language, where it has so many.
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, path: str, learn_from: Column, text: str = "text", lang
     numbers = labelled.groupBy(F.col(lang).alias("__lang")).count().collect()
     each = max(LEAST, sample // max(1, len(numbers)))
     below = docs.sparkSession.createDataFrame([(r[0], int(min(1.0, each / r[1]) * (1 << 40))) for r in numbers], "__lang string, __below long")
-    drawn = F.pmod(F.xxhash64(key, lang), F.lit(1 << 40)) < F.col("__below")
+    drawn = F.pmod(F.xxhash64(key, lang, text), F.lit(1 << 40)) < F.col("__below")
     chosen = labelled.join(F.broadcast(below), F.col(lang) == F.col("__lang")).filter(drawn)
 
     def count(batch: pa.RecordBatch):
