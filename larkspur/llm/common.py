@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
 import re
+import shutil
 import tempfile
 import uuid
 from collections import defaultdict
@@ -17,6 +19,8 @@ from pyspark.sql.types import StructType
 
 #: Texts are worked on in slices of about so many characters, which bounds a Python worker's memory.
 SLICE_CHARS = 2_000_000
+#: Row groups of stored tables are smaller than usual: a task holds one in memory until it is full.
+BLOCK_BYTES = 16 << 20
 #: A worker forgets what it has remembered about words once it holds so many.
 MEMO_WORDS = 400_000
 
@@ -38,11 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="larkspur-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, in one of the application's own that goes when it ends."""
+    folder = f"{shared_dir(spark)}/larkspur-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that no lost executor can take it along."""
     shared_dir(df.sparkSession)
@@ -51,8 +66,8 @@ def durable(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read from there; for wide rows."""
-    folder = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    folder = scratch(df.sparkSession, "table")
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
@@ -63,13 +78,19 @@ def key_share(key: Column | str, modulus: int) -> Column:
 
 
 def about(df: DataFrame, bound: int, *keys: str) -> DataFrame:
-    """About ``bound`` rows of ``df`` at most, the same ones on every run: those with the lowest hash of ``keys``."""
+    """About ``bound`` rows of ``df`` at most, the same ones on every run: those with the lowest hash of ``keys``, which should differ from row to row."""
     share = min(1.0, bound / max(1, df.count()))
     if share >= 1.0:
         return df
     return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
+def one_text(rows: DataFrame, *more: str) -> DataFrame:
+    """(key, text, more): one row of each key, that with the least hash of its text."""
+    first = F.min(F.struct(F.xxhash64("text").alias("by"), "text", *more)).alias("first")
+    return rows.groupBy("key").agg(first).select("key", "first.text", *(f"first.{c}" for c in more))
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """``work`` over each Arrow batch of ``df``."""
 

@@ -24,7 +24,6 @@ from __future__ import annotations
 import itertools
 import os
 import re
-import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Callable
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Memo, arrow_map, ragged, shared_dir, slices, sums
+from larkspur.llm.common import Memo, arrow_map, ragged, scratch, slices, sums
 
 #: How many values of how many bits the selectors 0 to 13 pack.
 PACKS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -327,6 +326,6 @@ def read_ids(spark, folder: str, key: str = "doc_id", with_ids: bool = False) ->
 def id_file(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Writes the ids of ``docs`` to ``folder`` (by default a new one in the shared folder) and reads them back."""
     spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    folder = folder or scratch(spark, "ids")
     write_ids(docs, folder, path, end, key, text)
     return read_ids(spark, folder, key)

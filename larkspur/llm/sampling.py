@@ -42,9 +42,9 @@ OFFSET, SHARPNESS, BYTE = 10, 1.0, 1e-6
 #: Logarithms of probabilities are whole multiples of this.
 UNIT = 2.0**-36
 #: A slice of texts is smaller here: their paths are held as well.
-CHARS = 250_000
+CHARS = 200_000
 #: A worker forgets its lattices once they have so many edges.
-MOST_EDGES = 3_000_000
+MOST_EDGES = 1_200_000
 
 COLUMNS = "sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, decodes boolean, ids array<int>"
 
@@ -82,8 +82,8 @@ class Bank:
         self.known = 0
         # by run: its first and last node; by node: its first edge and their number
         self.first, self.last, self.begin, self.degree = (Grown(np.int32) for _ in range(4))
-        # by edge: the node it leads to, log probability in units, the node's probability up to here, log of the rest, first id and their number
-        self.target, self.log, self.upto, self.rest = Grown(np.int32), Grown(np.int64), Grown(np.float64), Grown(np.float64)
+        # by edge: the node it leads to, log probability in units, the node's probability up to here, first id and their number
+        self.target, self.log, self.upto = Grown(np.int32), Grown(np.int64), Grown(np.float64)
         self.id_at, self.n_ids, self.ids = Grown(np.int32), Grown(np.uint8), Grown(np.int32)
 
     def codes(self, text: str, starts: np.ndarray) -> np.ndarray:
@@ -139,10 +139,13 @@ class Bank:
         self.target.add(x.target + nodes), self.log.add(log)
         # a node's shares sum to 1 but for rounding
         self.upto.add((total[1:] - low) / (total[begin[x.source + 1]] - low))
-        with np.errstate(divide="ignore"):
-            self.rest.add(np.where(np.diff(begin)[x.source] > 1, np.log1p(-np.minimum(share, 1.0)), -np.inf))
         self.id_at.add(id_at + len(self.ids)), self.n_ids.add(n_ids), self.ids.add(ids)
 
+    def rest(self, edge: np.ndarray) -> np.ndarray:
+        """The log probability of what else leaves each edge's node."""
+        with np.errstate(divide="ignore"):
+            return np.log1p(-np.exp(self.log.now[edge] * UNIT))
+
     def choose(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node: the first whose probability, with those before it, reaches ``u``."""
         low, upto = self.begin.now[node], self.upto.now
@@ -242,7 +245,7 @@ class Sampler:
         every, zeros = np.arange(n), np.zeros(n, np.int64)
         edge, run, position, size = self.drawn(seeds, every, end - counts, zeros - 1, spread, 0)
         begin = np.r_[0, np.cumsum(size)]
-        key = self.keys(edge, begin, uniform(np.repeat(seeds, size), 0, position, 1), bank.rest.now[edge])
+        key = self.keys(edge, begin, uniform(np.repeat(seeds, size), 0, position, 1), bank.rest(edge))
         found = [Found(every, begin, gumbel(uniform(seeds, 0, zeros, 2)), edge, run, position, key, zeros - 1, [()] * n)]
         for number in range(1, self.k):
             value, path, at = self.best(found, n)
@@ -322,7 +325,7 @@ class Sampler:
         tail = ragged(turn + 1, size)
         out["edge"][tail], out["run"][tail], out["position"][tail] = more, more_run, more_at
         noise[tail] = uniform(np.repeat(seeds[texts], size), number, more_at, 1)
-        rest[tail] = bank.rest.now[more]
+        rest[tail] = bank.rest(more)
         return Found(texts, begin, value[texts], **out, key=self.keys(out["edge"], begin, noise, rest), own=local, taken=taken)
 
     def source_of(self, x: Found, where: int, spread: tuple) -> int:
