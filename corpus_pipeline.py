@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm import decontam, nearcopies, rules, sampling, toxicity
-from larkspur.llm.common import shared_dir, table
+from larkspur.llm.common import fresh, scratch, table
 from larkspur.llm.queries import vocabulary_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5, by a model fitted on the labels of a sample."""
-    from pyspark.sql import functions as F
+    """Documents that score below 0.5, by a model fitted on the labels of a sample. Without labels all stay.
 
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.score(docs, model, out="__toxic").filter("__toxic < 0.5").drop("__toxic")
+    Null and empty texts stay, as the model's bias is far below 0.5 where most labels are 0; repeated rows fare alike.
+    """
+    model, (out,) = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True)), fresh(docs, "toxic")
+    return toxicity.score(docs, model, out=out).filter(F.col(out) < 0.5).drop(out)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the weighed votes of the quality rules keep; null and empty texts go."""
     return rules.keep_good(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of those that links of 0.8 of the five-word shingles join, each link verified."""
+    """One document, that of the least key, of those that links of 0.8 of the five-word shingles join.
+
+    Candidates come from op5's fingerprints and trees, and each link is verified. Texts without words are equal, null ones too.
+    """
     return nearcopies.near_dedup(docs, words=5, similarity=0.8)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that quote no benchmark item; null and empty texts quote none."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -44,7 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows over all of ``documents``; an empty table gives an empty one. Each stage's table is in the shared folder until the application ends."""
+    folder = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
