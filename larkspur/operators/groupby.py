@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Columns that a pivot makes at most.
+MOST_HEADERS = 5_000
+
+
 @dataclass(frozen=True)
 class Agg:
     """One aggregate: ``kind`` of ``column`` ("" counts rows), over the rows where ``where`` is true.
@@ -36,6 +40,8 @@ class Agg:
             value = F.when(self.where, value)
         number = value.cast("double")
         if self.kind in ("first", "last"):
+            if self.order is None:
+                raise ValueError(f"{self.kind} needs the column that row order goes by")
             by = F.when(value.isNotNull(), F.col(self.order))
             return (F.min_by if self.kind == "first" else F.max_by)(value, by)
         made: dict[str, Callable[[], Column]] = {
@@ -56,10 +62,10 @@ class Agg:
 def aggregate(df: DataFrame, keys: list[str], *aggs: Agg) -> DataFrame:
     """One row per key. Modes need counts of values first and are joined on."""
     plain = [a for a in aggs if a.kind != "mode"]
-    out = df.groupBy(*keys).agg(*(a.build().alias(a.name) for a in plain)) if plain else df.select(*keys).distinct()
+    out = df.groupBy(*keys).agg(*(a.build().alias(a.name) for a in plain)) if plain else df.select(*keys).distinct() if keys else df.groupBy().agg(F.lit(1).alias("_one"))
     for a in (a for a in aggs if a.kind == "mode"):
         found = mode(df if a.where is None else df.filter(a.where), keys, a.column, a.name, a.order)
-        same = [out[k].eqNullSafe(found[k]) for k in keys]
+        same = [out[k].eqNullSafe(found[k]) for k in keys] or F.lit(True)
         out = out.join(found, same, "left").select(*(out[c] for c in out.columns), found[a.name])
     return out.select(*keys, *(a.name for a in aggs))
 
@@ -72,15 +78,18 @@ def mode(df: DataFrame, keys: list[str], name: str, alias: str, order: str | Non
     return counted.groupBy(*keys).agg(best.alias(alias))
 
 
-def pivot(df: DataFrame, index: str, header: str, value: str, kind: str = "sum", headers: list[str] | None = None) -> DataFrame:
-    """One column per distinct ``header``, as text and in text order; null is headed "null".
+def pivot(df: DataFrame, index: str, header: str, value: str, kind: str = "sum", headers: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """One column per distinct ``header``, as text and in text order; null is headed "null". Any kind of aggregate; first, last and mode go by ``order``.
 
-    Naming ``headers`` saves the pass that finds them.
+    Naming ``headers`` saves the pass that finds them; more than ``MOST_HEADERS`` are an error, as no schema is that wide.
     """
     df = df.withColumn(header, F.coalesce(F.col(header).cast("string"), F.lit("null")))
     if headers is None:
-        headers = sorted(r[0] for r in df.select(header).distinct().collect())  # a column each, so a schema's worth
-    return df.groupBy(index).pivot(header, headers).agg(Agg(value, kind).build())
+        headers = sorted(r[0] for r in df.select(header).distinct().limit(MOST_HEADERS + 1).collect())
+        if len(headers) > MOST_HEADERS:
+            raise ValueError(f"{header} has more than {MOST_HEADERS} values to head columns")
+    cells = aggregate(df, [index, header], Agg(value, kind, "_cell", order=order))
+    return cells.groupBy(index).pivot(header, headers).agg(F.first("_cell"))
 
 
 class Aggregator:

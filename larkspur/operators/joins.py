@@ -9,13 +9,19 @@ from larkspur.errors import SchemaMismatch
 from larkspur.functions import geo
 from larkspur.operators.frame import require
 
-#: Sides of up to so many rows may be broadcast.
-BROADCAST_ROWS = 100_000
+#: Sides of up to so many rows and bytes, as Spark estimates them, may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
+#: Binary logarithms of the sides of grid cells: the least and greatest.
+FINEST, COARSEST = -30, 60
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to be small; else as it is, for the planner to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is estimated and counted to be small; else as it is, for the planner to shuffle."""
+    return F.broadcast(df) if estimated_bytes(df) <= most_bytes and df.limit(rows + 1).count() <= rows else df
 
 
 def join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: str = "inner") -> DataFrame:
@@ -38,35 +44,42 @@ def join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, how: st
     return found.select(*mine, *theirs)
 
 
-def cells(df: DataFrame, level: Column, size: float) -> DataFrame:
-    """A row for each grid cell that the bounds (_x0, _y0, _x1, _y1) touch at ``level`` (cells of size * 2^level)."""
-    df = df.withColumn("_level", level).withColumn("_cell", F.lit(size) * F.pow(F.lit(2.0), "_level"))
-    at = lambda c: F.floor(F.col(c) / F.col("_cell"))
-    df = df.withColumn("_cx", F.explode(F.sequence(at("_x0"), at("_x1"))))
-    return df.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_y0") / F.col("_cell")), F.floor(F.col("_y1") / F.col("_cell")))))
+def boxed(df: DataFrame, geometry: str) -> DataFrame:
+    """The rows with a geometry that isn't empty, with its bounds and the level of the grid cells that fit it."""
+    found = df.withColumn("_b", geo.bounds(F.col(geometry))).filter("_b IS NOT NULL")
+    found = found.select(*df.columns, *(F.col(f"_b.{x}").alias(n) for x, n in zip(("min_x", "min_y", "max_x", "max_y"), ("_x0", "_y0", "_x1", "_y1"))))
+    extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
+    level = F.when(extent > 0, F.ceil(F.log2(F.greatest(extent, F.lit(1e-300))))).otherwise(FINEST)
+    return found.withColumn("_own", F.greatest(F.least(level, F.lit(COARSEST)), F.lit(FINEST)).cast("int"))
+
+
+def cells(df: DataFrame, others: list[int]) -> DataFrame:
+    """A row for each cell that the bounds touch, at most four at each level where it may meet one of the levels ``others``: the coarser of the two."""
+    levels = F.array_distinct(F.transform(F.array(*(F.lit(x).cast("int") for x in others)), lambda x: F.greatest(x, F.col("_own")))) if others else F.array().cast("array<int>")
+    df = df.withColumn("_level", F.explode(levels)).withColumn("_cell", F.pow(F.lit(2.0), "_level"))
+    for axis in "xy":
+        df = df.withColumn(f"_c{axis}", F.explode(F.sequence(*(F.floor(F.col(f"_{axis}{i}") / F.col("_cell")) for i in (0, 1)))))
+    return df
 
 
 def sjoin(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, predicate: str = "intersects") -> DataFrame:
     """Inner join of the pairs for which ``predicate`` (intersects, contains or within) holds of left and right.
 
-    Each right geometry lies in cells of a level that fits its own size, four at most, and a
-    left one looks in the cells it touches at each level that there is; a pair meets in as many cells as both
-    touch and is kept in one, that of its bounds' common corner. So nothing is compared with everything, and
-    no pair has to be made distinct. The right geometry is dropped; clashing names get ``_right``.
+    A geometry's level is that of grid cells no smaller than itself, so that it touches four at most. Of a pair the larger one
+    is looked up in the cells of its own level and the smaller one comes there, whichever side it is on; where
+    both touch several, they are paired in that of their bounds' common corner. So no geometry fills many
+    cells, nothing is compared with everything, and no pair has to be made distinct; crowded cells are split by adaptive
+    execution, as for any skewed join. The levels that there are, some 90 at most, are found beforehand in one pass
+    over each side. The right geometry is dropped; clashing names get ``_right``.
     """
     require(left, [left_geometry])
     require(right, [right_geometry])
-    bounds = lambda df, g: df.withColumn("_b", geo.bounds(F.col(g))).filter("_b IS NOT NULL").select("*", *(F.col(f"_b.{a}").alias(b) for a, b in zip(("min_x", "min_y", "max_x", "max_y"), ("_x0", "_y0", "_x1", "_y1")))).drop("_b")
-    a, b = bounds(left, left_geometry), bounds(right, right_geometry)
-    extent = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"))
-    size = (b.agg(F.percentile_approx(extent, 0.5)).first()[0] or 0.0) or 1.0
-    own_level = F.greatest(F.ceil(F.log2(F.greatest(extent / size, F.lit(1e-9)))), F.lit(-8)).cast("int")
-    dealt = cells(b, own_level, size)
-    levels = [r[0] for r in b.select(own_level.alias("l")).distinct().collect()]  # powers of two of a size, so a few dozen
-    looks = cells(a.withColumn("_at", F.explode(F.array(*map(F.lit, levels)))) if levels else a.withColumn("_at", F.lit(0)), F.col("_at"), size).drop("_at")
-    names = {c: f"_r_{c}" for c in dealt.columns}
-    other = dealt.select(*(F.col(c).alias(n) for c, n in names.items()))
+    a, b = boxed(left, left_geometry), boxed(right, right_geometry)
+    levels = [sorted(df.agg(F.collect_set("_own")).first()[0]) for df in (a, b)]
+    looks, dealt = cells(a, levels[1]), cells(b, levels[0])
+    other = dealt.select(*(F.col(c).alias(f"_r_{c}") for c in dealt.columns))
     met = looks.join(other, (F.col("_level") == F.col("_r__level")) & (F.col("_cx") == F.col("_r__cx")) & (F.col("_cy") == F.col("_r__cy")))
+    met = met.filter(F.col("_level") == F.greatest("_own", "_r__own"))
     corner = (F.floor(F.greatest("_x0", "_r__x0") / F.col("_cell")) == F.col("_cx")) & (F.floor(F.greatest("_y0", "_r__y0") / F.col("_cell")) == F.col("_cy"))
     overlap = (F.col("_x0") <= F.col("_r__x1")) & (F.col("_r__x0") <= F.col("_x1")) & (F.col("_y0") <= F.col("_r__y1")) & (F.col("_r__y0") <= F.col("_y1"))
     found = met.filter(corner & overlap).filter(geo.relate(predicate)(F.col(left_geometry), F.col(f"_r_{right_geometry}")))

@@ -33,6 +33,10 @@ def query(sql: str | None = None):
     return add
 
 
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    _queries[name], _sql[name] = run, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
@@ -76,14 +80,8 @@ def take_rows(t):
     return frame.take(t("events").select("event_id", "value"), "event_id", [8, 5, 3, 5])
 
 
-@query("SELECT vec_id, unnest(embedding[1:3]) AS x FROM embeddings")
-def explode_list(t):
-    df = t("embeddings").select("vec_id", X.list_slice("embedding", 0, 3).alias("x"))
-    return frame.explode(df, "x")
-
-
 @query("SELECT vec_id, unnest(embedding) AS x FROM embeddings")
-def explode_list_all(t):
+def explode_list(t):
     return frame.explode(t("embeddings").select("vec_id", F.col("embedding").alias("x")), "x")
 
 
@@ -112,10 +110,10 @@ def bitwise_and_casts(t):
     return t("orders").select("o_orderkey", X.bit_and(a, F.lit(255)).alias("low"), X.bit_or(b, F.lit(1)).alias("odd"), X.bit_xor(a, b).alias("mixed"), X.as_number("o_totalprice", "long").alias("whole"))
 
 
-@query("SELECT vec_id, len(embedding)::BIGINT AS n, embedding[1] AS first, embedding[-1] AS last, embedding[100] AS beyond, round(list_sum(embedding::DOUBLE[]), 6) AS total, round(list_avg(embedding::DOUBLE[]), 6) AS mean, list_min(embedding) AS low, list_max(embedding) AS high FROM embeddings")
+@query("SELECT vec_id, len(embedding)::BIGINT AS n, embedding[1] AS first, embedding[-1] AS last, embedding[100] AS beyond, round(list_sum(embedding::DOUBLE[]), 6) AS total, round(list_avg(embedding::DOUBLE[]), 6) AS mean, list_min(embedding) AS low, list_max(embedding) AS high, embedding[1:3] AS head FROM embeddings")
 def list_functions(t):
     e = F.col("embedding")
-    return t("embeddings").select("vec_id", X.list_len(e).alias("n"), X.list_get(e, 0).alias("first"), X.list_get(e, -1).alias("last"), X.list_get(e, 99).alias("beyond"), F.round(X.list_sum(e), 6).alias("total"), F.round(X.list_mean(e), 6).alias("mean"), X.list_min(e).alias("low"), X.list_max(e).alias("high"))
+    return t("embeddings").select("vec_id", X.list_len(e).alias("n"), X.list_get(e, 0).alias("first"), X.list_get(e, -1).alias("last"), X.list_get(e, 99).alias("beyond"), F.round(X.list_sum(e), 6).alias("total"), F.round(X.list_mean(e), 6).alias("mean"), X.list_min(e).alias("low"), X.list_max(e).alias("high"), X.list_slice(e, 0, 3).alias("head"))
 
 
 @query("SELECT p_partkey, len(list_distinct([p_size, p_size % 7, p_size % 5]))::BIGINT AS n, (p_size % 7 = 3 OR p_size = 3) AS has FROM part")
@@ -183,6 +181,11 @@ def agg_pivot(t):
     return out.withColumns({c: F.round(c, 2) for c in out.columns[1:]})
 
 
+@query("SELECT c_nationkey, max(CASE WHEN c_mktsegment = 'BUILDING' THEN c_name END) AS \"BUILDING\", max(CASE WHEN c_mktsegment = 'MACHINERY' THEN c_name END) AS \"MACHINERY\" FROM (SELECT c_nationkey, c_mktsegment, arg_max(c_name, c_custkey) AS c_name FROM customer GROUP BY ALL) GROUP BY c_nationkey")
+def agg_pivot_last(t):
+    return groupby.pivot(t("customer"), "c_nationkey", "c_mktsegment", "c_name", "last", ["BUILDING", "MACHINERY"], order="c_custkey")
+
+
 @query("SELECT c_mktsegment, count(*) AS count FROM customer GROUP BY ALL")
 def value_counts(t):
     return frame.value_counts(t("customer"), "c_mktsegment")
@@ -210,15 +213,15 @@ def agg_custom(t):
 
 # joins
 
-RIGHT = "(SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 1000, 'nowhere', 0)"
-LEFT = "(SELECT c_custkey, c_nationkey, c_name AS n_name FROM customer WHERE c_custkey <= 200)"
+# the whole tables; keys that are shifted match nothing, on both sides
+RIGHT = "(SELECT CASE WHEN n_nationkey >= 20 THEN n_nationkey + 1000 ELSE n_nationkey END AS n_nationkey, n_name, n_regionkey FROM nation)"
+LEFT = "(SELECT c_custkey, c_nationkey, c_name AS n_name FROM customer)"
 
 
 def sides(t):
-    left = t("customer").filter("c_custkey <= 200").select("c_custkey", "c_nationkey", F.col("c_name").alias("n_name"))
-    nations = t("nation").filter("n_nationkey % 2 = 0").select("n_nationkey", "n_name", "n_regionkey")
-    extra = nations.sparkSession.createDataFrame([(1000, "nowhere", 0)], nations.schema)
-    return left, frame.concat(nations, extra)
+    left = t("customer").select("c_custkey", "c_nationkey", F.col("c_name").alias("n_name"))
+    key = F.when(F.col("n_nationkey") >= 20, F.col("n_nationkey") + 1000).otherwise(F.col("n_nationkey")).alias("n_nationkey")
+    return left, t("nation").select(key, "n_name", "n_regionkey")
 
 
 def register_join(how: str, sql: str) -> None:
@@ -234,29 +237,6 @@ for _how, _clause in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT
 for _how, _clause in (("semi", "SEMI JOIN"), ("anti", "ANTI JOIN")):
     register_join(_how, f"SELECT c_custkey, c_nationkey, l.n_name FROM {LEFT} l {_clause} {RIGHT} r ON c_nationkey = n_nationkey")
 
-# the same over the whole tables; shifted keys match nothing, on both sides
-ALL_RIGHT = "(SELECT CASE WHEN n_nationkey >= 20 THEN n_nationkey + 1000 ELSE n_nationkey END AS n_nationkey, n_name, n_regionkey FROM nation)"
-ALL_LEFT = "(SELECT c_custkey, c_nationkey, c_name AS n_name FROM customer)"
-
-
-def all_sides(t):
-    left = t("customer").select("c_custkey", "c_nationkey", F.col("c_name").alias("n_name"))
-    key = F.when(F.col("n_nationkey") >= 20, F.col("n_nationkey") + 1000).otherwise(F.col("n_nationkey")).alias("n_nationkey")
-    return left, t("nation").select(key, "n_name", "n_regionkey")
-
-
-def register_whole_join(how: str, sql: str) -> None:
-    def run(t):
-        return joins.join(*all_sides(t), "c_nationkey", "n_nationkey", how)
-
-    run.__name__ = f"join_{how}_all"
-    query(sql)(run)
-
-
-for _how in ("inner", "left", "right", "full", "semi", "anti"):
-    register_whole_join(_how, _sql[f"join_{_how}"].replace(LEFT, ALL_LEFT).replace(RIGHT, ALL_RIGHT))
-
-
 @query("SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def join_star(t):
     nation = joins.bounded(t("nation").select("n_nationkey", "n_name"))
@@ -276,6 +256,12 @@ def over_partition(t):
     return out.select("event_id", F.round("value_sum", 3).alias("value_sum"), "count")
 
 
+@query("SELECT event_id, arg_min(event_type, -n * 1000000000 + first_id) OVER (PARTITION BY user_id) AS event_type_mode FROM events JOIN (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY ALL) USING (user_id, event_type)")
+def over_mode(t):
+    out = windows.over(t("events").select("event_id", "user_id", "event_type"), ["user_id"], Agg("event_type", "mode", order="event_id"))
+    return out.select("event_id", "event_type_mode")
+
+
 @query("SELECT s_suppkey, round(s_acctbal - avg(s_acctbal) OVER (), 4) AS off FROM supplier")
 def over_whole_table(t):
     out = windows.broadcast_agg(t("supplier").select("s_suppkey", "s_acctbal"), Agg("s_acctbal", "mean"))
@@ -294,9 +280,11 @@ def rolling_rows(t):
     return t("events").select("event_id", F.round(windows.rolling("value", 4, "sum", keys, order), 4).alias("total"), windows.rolling("value", 4, "max", keys, order).alias("high"))
 
 
-@query("SELECT event_id, round(avg(value) OVER r, 6) AS mean, count(value) OVER r AS n FROM events WINDOW r AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)")
+@query("SELECT event_id, round(sum(value) OVER r, 4) / count(value) OVER r AS mean, count(value) OVER r AS n FROM events WINDOW r AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW)")
 def rolling_time(t):
-    return t("events").select("event_id", F.round(windows.rolling_by("value", "ts", DAY, "mean", ["event_type"]), 6).alias("mean"), windows.rolling_by("value", "ts", DAY, "count", ["event_type"]).alias("n"))
+    out = windows.rolling_by(t("events").select("event_id", "event_type", "ts", "value"), "ts", DAY, ["event_type"], total=("value", "sum"), n=("value", "count"))
+    # means of 32 or 64 values of two decimals lie on ties of rounding, so the sum is rounded
+    return out.select("event_id", (F.round("total", 4) / F.col("n")).alias("mean"), "n")
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS ts, count(*) AS count, round(sum(value), 4) AS value_sum, max(value) AS value_max FROM events GROUP BY 1")
@@ -364,18 +352,17 @@ def boxes(t) -> DataFrame:
     return df.withColumn("g", geo.from_wkt(F.expr(BOX)))
 
 
-@query("SELECT s_suppkey, round((s_suppkey % 4 + 1) ** 2, 6)::DOUBLE AS area, (4 * (s_suppkey % 4 + 1))::DOUBLE AS perimeter, round((s_suppkey * 7 % 95) + (s_suppkey % 4 + 1) / 2.0, 6)::DOUBLE AS cx, true AS valid FROM supplier")
+@query("SELECT s_suppkey, round((s_suppkey % 4 + 1) ** 2, 6)::DOUBLE AS area, (4 * (s_suppkey % 4 + 1))::DOUBLE AS perimeter, round((s_suppkey * 7 % 95) + (s_suppkey % 4 + 1) / 2.0, 6)::DOUBLE AS cx FROM supplier")
 def geo_measures(t):
     b = boxes(t).withColumn("c", geo.bounds(geo.centroid("g", 3857)))
-    return b.select("s_suppkey", F.round(geo.area("g", 3857), 6).alias("area"), geo.length("g", 3857).alias("perimeter"), F.round("c.min_x", 6).alias("cx"), geo.is_valid("g").alias("valid"))
+    return b.select("s_suppkey", F.round(geo.area("g", 3857), 6).alias("area"), geo.length("g", 3857).alias("perimeter"), F.round("c.min_x", 6).alias("cx"))
 
 
-@query("SELECT s_suppkey, round(pi() * r * r / 4, 1) >= 0 AS ok, round((s_suppkey % 4 + 1) ** 2 / 4.0, 6)::DOUBLE AS common FROM (SELECT s_suppkey, (s_suppkey % 4 + 1) AS r FROM supplier)")
+@query("SELECT s_suppkey, round(w * w / 4.0, 6)::DOUBLE AS common, round(w * w * 1.75, 6)::DOUBLE AS both_, round(w * w * 0.75, 6)::DOUBLE AS rest, round(w * w * 1.5, 6)::DOUBLE AS either FROM (SELECT s_suppkey, s_suppkey % 4 + 1 AS w FROM supplier)")
 def geo_boolean(t):
-    w = F.col("w")
     moved = boxes(t).withColumn("h", geo.from_wkt(F.expr(BOX.replace("x", "(x + w / 2.0)").replace("y", "(y + w / 2.0)").replace("', (", "', ("))))
-    common = geo.area(geo.boolean_op("g", "h", "intersection", 3857), 3857)
-    return moved.select("s_suppkey", (w > 0).alias("ok"), F.round(common, 6).alias("common"))
+    names = {"common": "intersection", "both_": "union", "rest": "difference", "either": "symmetric_difference"}
+    return moved.select("s_suppkey", *(F.round(geo.area(geo.boolean_op("g", "h", what, 3857), 3857), 6).alias(n) for n, what in names.items()))
 
 
 @query("SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, (c_custkey * 37) % 1000 / 10.0 + 0.05 AS x, (c_custkey * 91) % 1000 / 10.0 + 0.05 AS y FROM customer) JOIN (SELECT s_suppkey, s_suppkey * 7 % 95 AS a, s_suppkey * 13 % 95 AS b, s_suppkey % 4 + 1 AS w FROM supplier) ON x > a AND x < a + w AND y > b AND y < b + w")
@@ -398,18 +385,10 @@ def geo_circles(t):
     return df.select("c_custkey", geo.circle_contains("x", "y", circle).alias("near"), F.round(geo.distance_to_circle("x", "y", circle), 6).alias("gap"), geo.ellipse_contains("x", "y", ellipse).alias("in_ellipse"))
 
 
-@query("SELECT n_regionkey, (count(*) * 1.0)::DOUBLE AS area FROM nation GROUP BY n_regionkey")
+@query("SELECT n_regionkey, round(sum(b - greatest(a, coalesce(reached, a))), 6)::DOUBLE AS area FROM (SELECT n_regionkey, a, b, max(b) OVER (PARTITION BY n_regionkey ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM (SELECT n_regionkey, n_nationkey * 1.0 AS a, n_nationkey + 5.5 AS b FROM nation)) GROUP BY n_regionkey")
 def geo_dissolve(t):
-    k = F.col("n_nationkey")
-    x = (k * 2).cast("string")
-    df = t("nation").select("n_regionkey", geo.from_wkt(F.concat(F.lit("POLYGON (("), x, F.lit(" 0, "), (k * 2 + 1).cast("string"), F.lit(" 0, "), (k * 2 + 1).cast("string"), F.lit(" 1, "), x, F.lit(" 1, "), x, F.lit(" 0))"))).alias("g"))
+    """Strips that overlap others of their region."""
+    a, b = F.col("n_nationkey").cast("string"), (F.col("n_nationkey") + 5.5).cast("string")
+    ring = F.concat_ws(", ", F.concat(a, F.lit(" 0")), F.concat(b, F.lit(" 0")), F.concat(b, F.lit(" 1")), F.concat(a, F.lit(" 1")), F.concat(a, F.lit(" 0")))
+    df = t("nation").select("n_regionkey", geo.from_wkt(F.concat(F.lit("POLYGON (("), ring, F.lit("))"))).alias("g"))
     return geo.dissolve(df, "g", ["n_regionkey"]).select("n_regionkey", F.round(geo.area("g", 3857), 6).alias("area"))
-
-
-@query()
-def geo_transforms(t):
-    """Hull, envelope, simplification, buffer and geodesics of the same boxes; no SQL states them."""
-    b = boxes(t)
-    return b.select("s_suppkey", geo.to_wkt(geo.convex_hull("g")).alias("hull"), geo.to_wkt(geo.envelope("g")).alias("box"), F.round(geo.area(geo.buffer("g", 0.5), 3857), 6).alias("buffered"), geo.to_wkt(geo.simplify("g", 0.1)).alias("simple"), F.round(geo.length(geo.densify("g", 50_000.0), 4326), 3).alias("geodesic"), geo.crosses_antimeridian("g").alias("crosses"))
-
-
