@@ -5,6 +5,9 @@ All are compositions of built-in functions, so that they stay inside code genera
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType
@@ -161,3 +164,8 @@ def truncate_calendar(c: Column | str, unit: str, zone: str | None = None) -> Co
     """To the week (Monday), month or year, in a zone if one is given."""
     cut = F.date_trunc(unit, local(c, zone))
     return F.to_utc_timestamp(cut, zone) if zone else cut
+
+
+def custom(work: Callable[..., pd.Series], kind: str, *columns: Column | str) -> Column:
+    """A scalar function of one's own, over whole pandas batches of the columns."""
+    return F.pandas_udf(work, kind)(*map(column, columns))

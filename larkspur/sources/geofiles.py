@@ -294,13 +294,18 @@ def ring_sets(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
     return outer
 
 
-def dbf_table(raw: bytes) -> tuple[list[tuple[str, str, int, int]], list[list]]:
-    n, head, size = struct.unpack_from("<IHH", raw, 4)
+def dbf_fields(raw: bytes) -> list[tuple[str, str, int, int]]:
+    """(name, kind, width, decimals) of each field."""
     fields, at = [], 32
     while raw[at] != 0x0D:
         fields.append((raw[at : at + 11].split(b"\0")[0].decode("latin-1"), chr(raw[at + 11]), raw[at + 16], raw[at + 17]))
         at += 32
-    rows = []
+    return fields
+
+
+def dbf_table(raw: bytes) -> tuple[list[tuple[str, str, int, int]], list[list]]:
+    n, head, size = struct.unpack_from("<IHH", raw, 4)
+    fields, rows = dbf_fields(raw), []
     for i in range(n):
         row, p = [], head + i * size + 1
         for _, kind, width, decimals in fields:
@@ -325,24 +330,39 @@ def guess_epsg(prj: str) -> int:
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """``path`` of one .shp; .dbf and .prj lie beside it. Read in one task, which the format's offsets ask for."""
+    """``path`` of one .shp; .dbf and .prj may lie beside it. Read in one task, which the format's offsets ask for; the driver reads the .dbf's header only."""
     stem = path.removesuffix(".shp")
-    files = spark.read.format("binaryFile").load([f"{stem}.shp", f"{stem}.dbf"])
-    fields, _ = dbf_table(bytes(files.filter(F.col("path").endswith(".dbf")).select("content").first()[0]))
-    prj = spark.read.text(stem + ".prj", wholetext=True).first() if spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stem + ".prj").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stem + ".prj")) else None
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = [end for end in (".dbf", ".prj") if store.exists(hadoop(stem + end))]
+    fields = dbf_fields(dbf_header(spark, store, hadoop(stem + ".dbf"))) if ".dbf" in beside else []
+    prj = spark.read.text(stem + ".prj", wholetext=True).first() if ".prj" in beside else None
     kind = lambda t, d: BooleanType() if t == "L" else DoubleType() if t == "F" or (t == "N" and d) else LongType() if t == "N" else StringType()
     schema = StructType([*(StructField(n, kind(t, d)) for n, t, _, d in fields), StructField("geometry", BinaryType())])
 
     def join(batches):
         held = {p.rsplit(".", 1)[1]: bytes(c) for t in batches for p, c in zip(t["path"], t["content"])}
         if held:
-            rows = [[*r, g] for r, g in zip(dbf_table(held["dbf"])[1], shp_shapes(held["shp"]))]
+            shapes = list(shp_shapes(held["shp"]))
+            rows = [[*r, g] for r, g in zip(dbf_table(held["dbf"])[1] if fields else [[]] * len(shapes), shapes)]
             yield pd.DataFrame(rows, columns=schema.names).astype(object)
 
+    files = spark.read.format("binaryFile").load([f"{stem}.shp", *([f"{stem}.dbf"] if fields else [])])
     df = files.select("path", "content").coalesce(1).mapInPandas(join, schema)
     return df.select(*schema.names[:-1], geo.tag("geometry", "geometry", epsg=guess_epsg(prj[0]) if prj else 4326))
 
 
+def dbf_header(spark: SparkSession, store, path) -> bytes:
+    """The first bytes of a .dbf, to the end of its list of fields."""
+    stream = store.open(path)
+    try:
+        head = bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, 32))
+        size = int.from_bytes(head[8:10], "little")
+        return head + bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size - 32))
+    finally:
+        stream.close()
+
+
 def write_shapefile(df: DataFrame, path: str, geometry: str = "geometry") -> None:
     """.shp, .shx, .dbf and .prj; all geometries of one kind."""
     stem = path.removesuffix(".shp")

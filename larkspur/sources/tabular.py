@@ -166,18 +166,23 @@ def to_structs(df: DataFrame, kind: type, form: str = "") -> list:
 # databases
 
 
+def table_query(table: str, columns: list[str] | None = None, where: str | None = None, limit: int | None = None, geometry: list[str] | None = None) -> str:
+    """The query that ``read_table`` sends; geometry columns come as EWKB."""
+    chosen = ", ".join(f"ST_AsEWKB({c}) AS {c}" if c in (geometry or []) else c for c in columns or ["*"])
+    return f"SELECT {chosen} FROM {table}" + (f" WHERE {where}" if where else "") + (f" LIMIT {limit}" if limit else "")
+
+
 def read_table(spark: SparkSession, url: str, table: str, columns: list[str] | None = None, where: str | None = None, limit: int | None = None, geometry: list[str] | None = None, properties: dict | None = None, partition: tuple[str, int, int, int] | None = None) -> DataFrame:
-    """A PostGIS (or other JDBC) table; geometry columns come as EWKB and become WKB.
+    """A PostGIS (or other JDBC) table; geometry columns come as EWKB and become WKB. ``columns`` must be named with ``geometry``.
 
     ``partition``: a numeric column, its least and greatest value, and the number of parallel reads.
     """
-    named = columns or ["*"]
-    chosen = ", ".join(f"ST_AsEWKB({c}) AS {c}" if c in (geometry or []) else c for c in named)
-    query = f"SELECT {chosen} FROM {table}" + (f" WHERE {where}" if where else "") + (f" LIMIT {limit}" if limit else "")
+    if geometry and not columns:
+        raise ValueError("columns must be named where some are geometry")
     options = dict(properties or {})
     if partition:
         options |= dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, partition)))
-    df = spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) q").options(**options).load()
+    df = spark.read.format("jdbc").option("url", url).option("dbtable", f"({table_query(table, columns, where, limit, geometry)}) q").options(**options).load()
     return df.select(*(geo.tag(geo.from_ewkb(c), c) if c in (geometry or []) else F.col(c) for c in df.columns))
 
 
@@ -196,6 +201,12 @@ def save_bucketed(df: DataFrame, name: str, buckets: int, keys: list[str], sort:
 # predicates for foreign engines
 
 OPERATORS = {"=", "<>", "<", "<=", ">", ">="}
+#: Spark's names of the comparisons.
+COMPARISONS = {"EqualTo": "=", "GreaterThan": ">", "GreaterThanOrEqual": ">=", "LessThan": "<", "LessThanOrEqual": "<="}
+
+
+def identifier(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
 
 
 def where_sql(conjuncts: list[tuple[str, str, object]]) -> tuple[str, list]:
@@ -204,10 +215,59 @@ def where_sql(conjuncts: list[tuple[str, str, object]]) -> tuple[str, list]:
     for name, operator, value in conjuncts:
         if operator not in OPERATORS:
             raise ValueError(f"unknown operator {operator}")
-        quoted = '"' + name.replace('"', '""') + '"'
         if value is None:
-            parts.append(f"{quoted} IS {'NOT ' if operator == '<>' else ''}NULL")
+            parts.append(f"{identifier(name)} IS {'NOT ' if operator == '<>' else ''}NULL")
         else:
-            parts.append(f"{quoted} {operator} ?")
+            parts.append(f"{identifier(name)} {operator} ?")
             arguments.append(value)
     return " AND ".join(parts), arguments
+
+
+def expression_sql(df: DataFrame, condition: Column) -> tuple[str, list]:
+    """(WHERE text with placeholders, arguments) of a condition on ``df``'s columns: comparisons, AND, OR, NOT, IS NULL, IN and arithmetic.
+
+    The condition is resolved against ``df`` first, so that types are checked; what has no such form raises ValueError.
+    """
+    plan = df.filter(condition)._jdf.queryExecution().analyzed()
+    arguments: list = []
+
+    def children(node) -> list:
+        found = node.children()
+        return [found.apply(i) for i in range(found.size())]
+
+    def value(node):
+        raw = node.value()
+        if raw is None or isinstance(raw, (bool, int, float, str)):
+            return raw
+        text = node.toString()
+        kind = node.dataType().typeName()
+        if kind == "string" or kind.startswith("decimal"):
+            return text
+        raise ValueError(f"a value of type {kind} has no place in a condition")
+
+    def text(node) -> str:
+        kind = node.getClass().getSimpleName()
+        below = children(node)
+        if kind == "AttributeReference":
+            return identifier(node.name())
+        if kind == "Literal":
+            arguments.append(value(node))
+            return "?"
+        if kind == "Cast":
+            # what resolution put in to make both sides of one type
+            return text(below[0])
+        if kind in ("And", "Or"):
+            return f"({text(below[0])} {kind.upper()} {text(below[1])})"
+        if kind == "Not":
+            return f"(NOT {text(below[0])})"
+        if kind in ("IsNull", "IsNotNull"):
+            return f"{text(below[0])} IS {'NOT ' if kind == 'IsNotNull' else ''}NULL"
+        if kind == "In":
+            return f"{text(below[0])} IN ({', '.join(map(text, below[1:]))})"
+        if kind in COMPARISONS:
+            return f"{text(below[0])} {COMPARISONS[kind]} {text(below[1])}"
+        if kind in ("Add", "Subtract", "Multiply"):
+            return f"({text(below[0])} {dict(Add='+', Subtract='-', Multiply='*')[kind]} {text(below[1])})"
+        raise ValueError(f"{kind} has no form in SQL for other engines")
+
+    return text(plan.condition()), arguments

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import geo
-from larkspur.sources import geofiles, tabular
+from larkspur.sources import connector, geofiles, tabular
 
 PLACES = [("Alpha", 3, 1.5, True, "POINT (1 2)"), ("Bravo", None, 2.5, False, "POINT (-3 4.5)"), ("Charlie", 7, None, None, None)]
 SHAPES = [("a", "POLYGON ((0 0, 0 4, 4 4, 4 0, 0 0), (1 1, 2 1, 2 2, 1 2, 1 1))"), ("b", "MULTIPOLYGON (((0 0, 0 1, 1 1, 0 0)), ((5 5, 5 6, 6 6, 5 5)))")]
@@ -101,3 +101,79 @@ def test_bucketed_tables_need_no_shuffle(spark):
 
 def test_where_sql():
     assert tabular.where_sql([("a", "=", 1), ("b", "=", None), ("c", "<>", None)]) == ('"a" = ? AND "b" IS NULL AND "c" IS NOT NULL', [1])
+
+
+def test_expression_sql(spark):
+    df = spark.range(10).selectExpr("id AS a", "CAST(id AS STRING) AS b", "id * 0.5D AS c")
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    assert tabular.expression_sql(df, (a > 3) & ((b == "x") | c.isNull())) == ('("a" > ? AND ("b" = ? OR "c" IS NULL))', [3, "x"])
+    assert tabular.expression_sql(df, ~a.isin(1, 2) & (c * 2.0 <= 5.0)) == ('((NOT "a" IN (?, ?)) AND ("c" * ?) <= ?)', [1, 2, 2.0, 5.0])
+    text, arguments = tabular.expression_sql(df, (a != 4) & c.isNotNull() & (b >= "2"))
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE t (a, b, c)")
+    db.executemany("INSERT INTO t VALUES (?, ?, ?)", [tuple(r) for r in df.collect()])
+    assert db.execute(f"SELECT a FROM t WHERE {text}", arguments).fetchall() == [(r.a,) for r in df.filter((a != 4) & c.isNotNull() & (b >= "2")).collect()]
+    with pytest.raises(ValueError):
+        tabular.expression_sql(df, F.upper(b) == "X")
+
+
+def test_table_query_and_ewkb(spark):
+    assert tabular.table_query("s.places", ["id", "g"], "id > 5", 10, ["g"]) == "SELECT id, ST_AsEWKB(g) AS g FROM s.places WHERE id > 5 LIMIT 10"
+    assert tabular.table_query("places") == "SELECT * FROM places"
+    with pytest.raises(ValueError):
+        tabular.read_table(spark, "jdbc:none", "places", geometry=["g"])
+    raw = spark.createDataFrame([("POINT (1 2)",)], "w string").select(geo.to_ewkb(geo.from_wkt("w"), 3857).alias("e"))
+    assert bytes(raw.first().e).hex() == "0101000020110f0000000000000000f03f0000000000000040"
+    assert raw.select(geo.to_wkt(geo.from_ewkb("e"))).first()[0] == "POINT (1 2)"
+
+
+def test_csv_by_suffix(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(b"name;n\nAlpha;1\n"))
+    assert [tuple(r) for r in tabular.read_csv(spark, str(tmp_path / "c.csv.gz"), "name string, n long", delimiter=";").collect()] == [("Alpha", 1)]
+
+
+def test_shapefile_without_attributes(spark, places, tmp_path):
+    geofiles.write_shapefile(places.filter("geometry IS NOT NULL"), str(tmp_path / "n.shp"))
+    (tmp_path / "n.dbf").unlink()
+    back = geofiles.read_shapefile(spark, str(tmp_path / "n.shp"))
+    assert back.columns == ["geometry"] and shown(back, "geometry") == [("POINT (-3 4.5)",), ("POINT (1 2)",)]
+
+
+def test_connector(spark):
+    class Numbers(connector.Connector):
+        """0 up to the option ``most``, in two parts; filters on n from below are applied here."""
+
+        name = "numbers"
+
+        def schema(self):
+            return "n long, half double"
+
+        def parts(self, filters):
+            most = int(self.options["most"])
+            return [(0, most // 2), (most // 2, most)]
+
+        def accepts(self, name, operator, value):
+            return (name, operator) in (("n", ">"), ("n", "<>"))
+
+        def read(self, part, filters):
+            import pyarrow as pa
+
+            low = max([v for _, operator, v in filters if operator == ">"], default=-1)
+            found = [n for n in range(*part) if n > low]
+            yield pa.RecordBatch.from_pydict({"n": found, "half": [n / 2 for n in found]}, pa.schema([("n", pa.int64()), ("half", pa.float64())]))
+
+    df = connector.read(spark, Numbers, most="10")
+    assert df.rdd.getNumPartitions() == 2 and df.count() == 10
+    kept = df.filter((F.col("n") > 6) & (F.col("half") < 4.5))
+    assert sorted(r.n for r in kept.collect()) == [7, 8]
+    assert "n > 6" not in kept._jdf.queryExecution().executedPlan().toString().split("Filter", 1)[1].split("\n", 1)[0]  # handed down, not applied again
+
+
+def test_custom_expression(spark):
+    from larkspur.functions import expr
+
+    assert [r.d for r in spark.range(3).select(expr.custom(lambda s: s * 2, "long", "id").alias("d")).collect()] == [0, 2, 4]
