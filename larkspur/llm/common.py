@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import itertools
 import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
@@ -21,6 +25,8 @@ from pyspark.sql.types import StructType
 SLICE_CHARS = 2_000_000
 #: Row groups of stored tables are smaller than usual: a task holds one in memory until it is full.
 BLOCK_BYTES = 16 << 20
+#: Rows and bytes of a batch that a Python worker is given at once, at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2_500, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
 #: A worker forgets what it has remembered about words once it holds so many.
 MEMO_WORDS = 400_000
 
@@ -91,10 +97,45 @@ def one_text(rows: DataFrame, *more: str) -> DataFrame:
     return rows.groupBy("key").agg(first).select("key", "first.text", *(f"first.{c}" for c in more))
 
 
+#: What workers remember, to be forgotten when they turn to another operator.
+_remembered: weakref.WeakSet = weakref.WeakSet()
+_operator = ""
+
+
+def remember(found) -> None:
+    """``found.clear()`` is called when the worker turns to another operator."""
+    _remembered.add(found)
+
+
+def turn_to(operator: str) -> None:
+    """Workers are used again from stage to stage; what one operator has remembered goes when another begins, and its memory back to the system."""
+    global _operator
+    if operator == _operator:
+        return
+    for found in list(_remembered):
+        found.clear()
+    _operator = operator
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches for Python hold rows and bytes of a bounded number, as texts may be long; settings that are smaller stay."""
+    for key, most in BATCH.items():
+        found = int(spark.conf.get(key).rstrip("b"))
+        if found <= 0 or found > most:
+            spark.conf.set(key, str(most))
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """``work`` over each Arrow batch of ``df``."""
+    bound_batches(df.sparkSession)
+    operator = work.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(operator)
         for batch in batches:
             yield from work(batch)
 
@@ -140,6 +181,7 @@ class Memo:
     def __init__(self, learn: Callable[[list], tuple[np.ndarray, ...]], most: int = MEMO_WORDS):
         self.learn, self.most = learn, most
         self.clear()
+        remember(self)
 
     def clear(self) -> None:
         self.index: defaultdict = defaultdict(itertools.count().__next__)

@@ -19,12 +19,16 @@ def pair(left: np.ndarray, right: np.ndarray, kind: int) -> np.ndarray:
     return mix(left * np.uint64(3) + mix(right + np.uint64(kind)))
 
 
+#: Words whose hashes a worker remembers; they are soon worked out again.
+MOST = 100_000
+
+
 class Words:
     """Hashes of words, remembered."""
 
     def __init__(self, extra=None):
         self.extra = extra
-        self.memo = Memo(lambda words: (word_hashes(words), *(extra(words) if extra else ())))
+        self.memo = Memo(lambda words: (word_hashes(words), *(extra(words) if extra else ())), MOST)
 
     def of(self, words: list[list[str]]) -> tuple[np.ndarray, ...]:
         """(text number, hash, extras) of every word."""

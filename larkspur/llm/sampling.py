@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import Grown, arrow_map, mix, ragged, slices, with_fields
+from larkspur.llm.common import Grown, arrow_map, mix, ragged, remember, slices, with_fields
 from larkspur.llm.langid import levels
 from larkspur.llm.pieces import SPACE, vocabulary
 
@@ -76,6 +76,7 @@ class Bank:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.clear()
+        remember(self)
 
     def clear(self) -> None:
         self.index: defaultdict = defaultdict(itertools.count().__next__)

@@ -29,7 +29,7 @@ from larkspur.llm.common import about, arrow_map, durable, fresh, with_fields
 
 #: Home fingerprints that a shard should hold: one of so many of all, and the least and most; and those that a split in memory stops at.
 #: The fewer the shards, the fewer fingerprints visit several; a shard of the most takes 8 MB besides its guests.
-SHARD_SHARE, SHARD_LEAST, SHARD_MOST, SMALL = 256, 1 << 14, 1 << 20, 512
+SHARD_SHARE, SHARD_LEAST, SHARD_MOST, SMALL = 64, 1 << 14, 1 << 20, 512
 #: The tree's sample: one fingerprint of so many, and the least and most of it.
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 16, 1 << 13, 1 << 19
 SEED = 42
@@ -176,7 +176,7 @@ def links(points: DataFrame, radius: int = 2, shard: int | None = None) -> DataF
     """(a, b): links between the distinct fingerprints ``fp`` that join just those that paths of near pairs join."""
     spark, total = points.sparkSession, points.count()
     wanted = min(SAMPLE_MOST, max(SAMPLE_LEAST, total // SAMPLE_SHARE))
-    sample = np.array([r[0] for r in about(points.select("fp"), wanted, "fp").collect()], np.int64).view(np.uint64)
+    sample = about(points.select("fp"), wanted, "fp").toArrow()["fp"].to_numpy().view(np.uint64)
     shard = shard or min(SHARD_MOST, max(SHARD_LEAST, total // SHARD_SHARE))
     leaves = [0]
     tree = grow(np.sort(sample), max(8, shard * len(sample) // max(1, total)), radius, leaves)
@@ -185,9 +185,11 @@ def links(points: DataFrame, radius: int = 2, shard: int | None = None) -> DataF
     def deal(batch: pa.RecordBatch):
         parts: list = []
         route(shared.value, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), np.zeros(0, np.uint64), radius, parts)
-        for leaf, homes, guests in parts:
-            both = np.concatenate([homes, guests])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(both), leaf, np.int32)), pa.array(both.view(np.int64)), pa.array(np.arange(len(both)) < len(homes))], ["leaf", "fp", "home"])
+        sizes = [(len(h), len(g)) for _, h, g in parts]
+        leaf = np.repeat(np.array([x[0] for x in parts], np.int32), [n + m for n, m in sizes])
+        both = np.concatenate([np.zeros(0, np.uint64), *(x for _, h, g in parts for x in (h, g))])
+        home = np.repeat(np.tile([True, False], len(parts)), [x for n in sizes for x in n])
+        yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(both.view(np.int64)), pa.array(home)], ["leaf", "fp", "home"])
 
     def search(group: pa.Table) -> pa.Table:
         fp, home = group["fp"].to_numpy().view(np.uint64), group["home"].to_numpy(zero_copy_only=False).astype(bool)
