@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField
 
 from larkspur.errors import UnsupportedCRS
-from larkspur.functions.expr import column
-from larkspur.geometry import boolean, crs, measure, transform
+from larkspur.functions.expr import METRES, column
+from larkspur.geometry import batch, boolean, crs, measure, transform
 from larkspur.geometry.model import Geometry, bounds as box_of, multipolygon, point, read_wkb, read_wkt, write_wkb, write_wkt
 
 #: Keys of a geometry column's metadata.
@@ -112,12 +112,35 @@ def kind(c: Column | str) -> Column:
 # measures
 
 
+def by_rings(at_once: Callable[[batch.Rings], list], work: Callable[[Geometry], object], kind: str, epsg: int) -> Callable[[Column | str], Column]:
+    """As ``one``, with the polygons of one ring in a batch worked on at once."""
+
+    @F.pandas_udf(kind)
+    def run(raw: pd.Series) -> pd.Series:
+        held = raw.tolist()
+        rings = batch.rings(held)
+        out: list = [None] * len(held)
+        for i, found in zip(rings.rows.tolist(), at_once(rings) if len(rings.rows) else []):
+            out[i] = found
+        done = set(rings.rows.tolist())
+        for i, b in enumerate(held):
+            if b is not None and i not in done:
+                out[i] = work(read_wkb(b, epsg))
+        return pd.Series(out, dtype=object)
+
+    return lambda c: run(column(c))
+
+
 def area(c: Column | str, epsg: int = 4326, unit: str = "m") -> Column:
-    return one(lambda g: measure.area(g, unit), "double", epsg)(c)
+    scale = METRES[unit] ** 2
+    at_once = lambda r: ((r.spherical_area() if crs.geographic(epsg) else r.planar_area()) / scale).tolist()
+    return by_rings(at_once, lambda g: measure.area(g, unit), "double", epsg)(c)
 
 
 def length(c: Column | str, epsg: int = 4326, unit: str = "m") -> Column:
-    return one(lambda g: measure.length(g, unit), "double", epsg)(c)
+    if crs.geographic(epsg):
+        return one(lambda g: measure.length(g, unit), "double", epsg)(c)
+    return by_rings(lambda r: (r.planar_length() / METRES[unit]).tolist(), lambda g: measure.length(g, unit), "double", epsg)(c)
 
 
 def centroid(c: Column | str, epsg: int = 4326) -> Column:
@@ -125,22 +148,30 @@ def centroid(c: Column | str, epsg: int = 4326) -> Column:
         m = measure.centroid(g)
         return None if m is None else write_wkb(point(*m, epsg=epsg))
 
-    return one(work, "binary", epsg)(c)
+    at_once = lambda r: [batch.POINT_HEAD + x.tobytes() for x in r.centroid().astype("<f8")]
+    return by_rings(at_once, work, "binary", epsg)(c)
 
 
 def bounds(c: Column | str) -> Column:
-    """struct<min_x, min_y, max_x, max_y>; null for null and empty geometries. Points are read as one block."""
+    """struct<min_x, min_y, max_x, max_y>; null for null and empty geometries. Points and single rings are read as one block."""
 
     @F.pandas_udf("min_x double, min_y double, max_x double, max_y double")
     def run(raw: pd.Series) -> pd.DataFrame:
-        if len(raw) and raw.map(lambda b: b is not None and len(b) == 21 and b[0] == 1).all():
-            c = np.frombuffer(b"".join(raw), np.dtype([("head", "V5"), ("x", "<f8"), ("y", "<f8")]))
-            return pd.DataFrame({"min_x": c["x"], "min_y": c["y"], "max_x": c["x"], "max_y": c["y"]})
-        found = [None if b is None else box_of(read_wkb(b)) for b in raw]
-        return pd.DataFrame([f or (None,) * 4 for f in found], columns=["min_x", "min_y", "max_x", "max_y"], dtype=float)
+        held = raw.tolist()
+        out = np.full((len(held), 4), np.nan)
+        rows, xy = batch.points(held)
+        out[rows] = np.hstack([xy, xy])
+        rings = batch.rings(held)
+        if len(rings.rows):
+            out[rings.rows] = rings.box()
+        done = {*rows.tolist(), *rings.rows.tolist()}
+        for i, b in enumerate(held):
+            if b is not None and i not in done and (found := box_of(read_wkb(b))):
+                out[i] = found
+        return pd.DataFrame(out, columns=["min_x", "min_y", "max_x", "max_y"])
 
     b = run(column(c))
-    return F.when(b["min_x"].isNotNull(), b)
+    return F.when(b["min_x"].isNotNull() & ~F.isnan(b["min_x"]), b)
 
 
 def distance(a: Column | str, b: Column | str, epsg: int = 4326, unit: str = "m") -> Column:
@@ -156,8 +187,40 @@ def is_valid(c: Column | str) -> Column:
 
 
 def relate(predicate: str) -> Callable[[Column, Column], Column]:
-    """intersects, contains, within, disjoint, touches, overlaps or crosses."""
-    return two(measure.RELATIONS[predicate], "boolean", 4326)
+    """intersects, contains, within, disjoint, touches, overlaps or crosses.
+
+    Of points and polygons of one ring, the points that stand with a polygon are tested at once; those on its ring one by one.
+    """
+    work = measure.RELATIONS[predicate]
+    # what a point strictly inside a polygon gives, with the point on the left and on the right
+    given = {"intersects": (True, True), "disjoint": (False, False), "within": (True, False), "contains": (False, True)}
+
+    @F.pandas_udf("boolean")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        sides = [[None if b is None else bytes(b) for b in s] for s in (left, right)]
+        out: list = [None] * len(left)
+        todo = {i for i, (a, b) in enumerate(zip(*sides)) if a is not None and b is not None}
+        for turn in (0, 1) if predicate in given else ():
+            rows, c = batch.points(sides[turn])
+            by_polygon: dict[bytes, list[int]] = {}
+            for k, i in enumerate(rows.tolist()):
+                if i in todo:
+                    by_polygon.setdefault(sides[1 - turn][i], []).append(k)
+            found = batch.rings(list(by_polygon))
+            groups = list(by_polygon.values())
+            for n, (start, count) in enumerate(zip(found.starts.tolist(), found.counts.tolist())):
+                own = np.array(groups[int(found.rows[n])])
+                within, edge = batch.inside(c[own], found.c[start : start + count])
+                for i, hit, near in zip(rows[own].tolist(), within.tolist(), edge.tolist()):
+                    if not near:
+                        out[i] = given[predicate][turn] if hit else predicate == "disjoint"
+                        todo.discard(i)
+        read = lru_cache(1024)(lambda b: read_wkb(b, 4326))
+        for i in todo:
+            out[i] = work(read(sides[0][i]), read(sides[1][i]))
+        return pd.Series(out, dtype=object)
+
+    return lambda a, b: run(column(a), column(b))
 
 
 # transforms
