@@ -250,7 +250,27 @@ def boolean_op(a: Column | str, b: Column | str, what: str, epsg: int) -> Column
 
 
 def to_crs(c: Column | str, source: int, target: int) -> Column:
-    return one(lambda g: write_wkb(crs.project(g, target)), "binary", source)(c)
+    """Points and single rings of a batch are projected as one array."""
+
+    @F.pandas_udf("binary")
+    def run(raw: pd.Series) -> pd.Series:
+        held = raw.tolist()
+        out: list = [None] * len(held)
+        moved = lambda x: x if source == target else crs.from_degrees(crs.to_degrees(x, source), target)
+        rows, xy = batch.points(held)
+        for i, x in zip(rows.tolist(), moved(xy).astype("<f8") if len(rows) else []):
+            out[i] = batch.POINT_HEAD + x.tobytes()
+        rings = batch.rings(held)
+        ring = moved(rings.c).astype("<f8") if len(rings.rows) else rings.c
+        for i, start, count in zip(rings.rows.tolist(), rings.starts.tolist(), rings.counts.tolist()):
+            out[i] = batch.RING_HEAD + count.to_bytes(4, "little") + ring[start : start + count].tobytes()
+        done = {*rows.tolist(), *rings.rows.tolist()}
+        for i, b in enumerate(held):
+            if b is not None and i not in done:
+                out[i] = write_wkb(crs.project(read_wkb(b, source), target))
+        return pd.Series(out, dtype=object)
+
+    return run(column(c))
 
 
 def mercator_xy(lon: Column | str, lat: Column | str) -> tuple[Column, Column]:
@@ -329,8 +349,9 @@ def estimate_utm(df: DataFrame, name: str) -> int:
 def dissolve(df: DataFrame, name: str, keys: list[str] | None = None, parts: int = 32) -> DataFrame:
     """The union of all polygons, per key if any are named.
 
-    Each batch is united where it is, then ``parts`` shares of a key, then the key, so that a large group is
-    united in tasks of bounded size before the last.
+    Shares of a key that lie together are united in each batch, then over batches, then the key: polygons are dealt to shares by the strip of x that
+    their middle lies in, of ``parts`` between the key's bounds, so that neighbours, which have edges to lose, meet early and the last
+    union is of their outlines.
     """
     keys = keys or []
     heads = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema.fields) if keys else ""
@@ -338,23 +359,26 @@ def dissolve(df: DataFrame, name: str, keys: list[str] | None = None, parts: int
     def united(raw) -> bytes:
         return write_wkb(multipolygon(boolean.unary_union([p for b in raw if b is not None for p in read_wkb(b).polygons()]), 3857))
 
-    def batch(tables):
-        for t in tables:
-            groups = t.groupby(keys, dropna=False, sort=False) if keys else [((), t)]
-            rows = [dict(zip(keys, k if isinstance(k, tuple) else (k,))) | {name: united(g[name])} for k, g in groups if len(g)]
-            if rows:
-                yield pd.DataFrame(rows)
-
     def group(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([dict(zip(keys, key)) | {name: united(t[name])}])
 
     def share_of(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         return group(key[: len(keys)], t)
 
+    def early(tables):
+        for t in tables:
+            rows = [dict(zip([*keys, "_part"], k)) | {name: united(g[name])} for k, g in t.groupby([*keys, "_part"], dropna=False, sort=False)]
+            if rows:
+                yield pd.DataFrame(rows)
+
     schema = f"{heads}{name} binary"
-    some = df.select(*keys, name).mapInPandas(batch, schema)
-    share = some.withColumn("_part", F.pmod(F.xxhash64(name), F.lit(parts)))
+    box = df.select(*keys, name, bounds(name).alias("_b"))
+    span = box.groupBy(*keys).agg(F.min("_b.min_x").alias("_low"), F.max("_b.max_x").alias("_high")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_low", "_high")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    met = box.join(span, same) if keys else box.crossJoin(F.broadcast(span))
+    wide = F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
+    strip = F.floor(((F.col("_b.min_x") + F.col("_b.max_x")) / 2 - F.col("_low")) / wide * parts)
+    share = met.select(*keys, name, F.coalesce(F.least(strip, F.lit(parts - 1)), F.lit(0)).alias("_part"))
+    share = share.mapInPandas(early, f"{heads}_part long, {name} binary")
     once = share.groupBy(*keys, "_part").applyInPandas(share_of, schema)
     return once.groupBy(*keys).applyInPandas(group, schema)
-
-
