@@ -97,7 +97,7 @@ def write_geoparquet(df: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True, delimiter: str = ",", comment: str | None = None, skip_rows: int = 0, null_tokens: list[str] | None = None, time_format: str | None = None, wkt: dict[str, int] | None = None) -> DataFrame:
     """Typed CSV, compressed or not by its suffix. ``wkt`` names the WKT columns, with their EPSG codes, to become WKB.
 
-    With several null tokens, or rows to skip, fields are read as text first and cast.
+    With several null tokens, or rows to skip, fields are read as text first and cast; with rows to skip, a field has no line breaks.
     """
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wkt, tokens = wkt or {}, null_tokens if null_tokens is not None else [""]
@@ -110,8 +110,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: b
     if time_format and plain:
         reader = reader.option("timestampFormat", time_format)
     if skip_rows:
-        # the rows to skip are the first of each file, so lines are numbered by file
-        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n"))).filter((F.col("pos") >= skip_rows + header) & (F.col("col") != ""))
+        lines = after_first(spark, path, skip_rows + header).filter("col <> ''")
         df = lines.select(F.from_csv("col", ", ".join(f"`{f.name}` string" for f in schema.fields), {"sep": delimiter} | ({"comment": comment} if comment else {})).alias("r")).select("r.*")
     else:
         df = reader.csv(path)
@@ -122,6 +121,22 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: b
     return df.select(*(geo.tag(geo.from_wkt(c), c, epsg=wkt[c]) if c in wkt else F.col(c) for c in df.columns))
 
 
+def after_first(spark: SparkSession, path: str, skip: int) -> DataFrame:
+    """col string: the lines of each file but its first ones, which lie in its first split; files are split and read in parallel."""
+    lines = spark.read.text(path).select(F.col("value").alias("col"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+    def kept(batches):
+        seen: dict[str, int] = {}
+        for t in batches:
+            first = t[t["start"] == 0]
+            number = first.groupby("file").cumcount() + first["file"].map(lambda f: seen.get(f, 0))
+            for file, n in first["file"].value_counts().items():
+                seen[file] = seen.get(file, 0) + int(n)
+            yield t.drop(number.index[number < skip])[["col"]]
+
+    return lines.mapInPandas(kept, "col string")
+
+
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("sep", delimiter).option("header", header).csv(path)
 

@@ -41,6 +41,13 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in df.select("name", "n", geo.to_wkt("g")).orderBy("name").collect()] == [("Alpha", 1, "POINT (1 2)"), ("Bravo", None, None), ("Charlie", None, "POINT (3 4)")]
 
 
+def test_csv_skips_the_first_rows_of_each_file(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("note\nname,n\n" + "".join(f"r{i}_{k},{k}\n" for k in range(5)))
+    df = tabular.read_csv(spark, str(tmp_path), "name string, n long", skip_rows=1)
+    assert sorted(map(tuple, df.collect())) == sorted((f"r{i}_{k}", k) for i in range(3) for k in range(5))
+
+
 def test_geojson(spark, places, tmp_path):
     geofiles.write_geojson(places, str(tmp_path / "p.geojson"))
     assert shown(geofiles.read_geojson(spark, str(tmp_path / "p.geojson")), *ALL) == shown(places, *ALL)
