@@ -16,7 +16,8 @@ Spark's commit protocol keeps out what lost executors left behind. A row is a bl
 - escaped array<long>.
 
 Shards are in ascending key order, nulls first, and blocks and documents in them too; rows
-of the same key are in text order. A document is never split over blocks.
+of the same key are in text order. A document is never split over blocks, however long. Null and empty texts have the end id alone, repeated rows are
+documents each, and an empty table gives files without rows. Only key and text are read; further columns may have any name.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ occurrences of that pair in it are merged, for all sequences at once, until none
 has a pair that merges. What survives are the tokens.
 
 Null texts count as empty: 0 bytes, 0 tokens. A special string inside a text is one
-token, as the library's default has it. Repeated rows are counted each for itself.
+token, as the library's default has it. Repeated rows are counted each for itself. Very long texts are worked on whole, an empty table
+gives an empty table; columns named as the results are replaced, and others may have any name.
 """
 
 from __future__ import annotations

@@ -235,3 +235,29 @@ def test_op10_estimate_is_that_of_a_plain_loop_and_no_single_vote():
 def test_op5_contraction_of_a_long_rising_chain(spark):
     links = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
     assert {(r.root) for r in simhash.roots(links).collect()} == {0}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from larkspur.llm import common
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(RuntimeError):
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+    context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_workers_forget_other_operators_words():
+    from larkspur.llm import common
+
+    memo = common.Memo(lambda words: (np.arange(len(words)),))
+    common.turn_to("one")
+    memo.codes(["a", "b"])
+    memo.arrays()
+    common.turn_to("one")
+    assert memo.known == 2
+    common.turn_to("two")
+    assert memo.known == 0 and len(memo.index) == 0
