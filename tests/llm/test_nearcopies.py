@@ -84,6 +84,17 @@ def test_samples_find_pairs_at_the_bar():
     assert missed <= 6
 
 
+def test_sketches_differ_by_the_similarity():
+    rng, far = np.random.default_rng(3), {0.8: [], 0.6: []}
+    for s, (common, own) in {0.8: (160, 20), 0.6: (120, 40)}.items():
+        for _ in range(60):
+            both, rest = rng.integers(0, 2**63, common).astype(np.uint64), rng.integers(0, 2**63, 2 * own).astype(np.uint64)
+            a, b = (nearcopies.sketch(np.unique(np.r_[both, part])) for part in (rest[:own], rest[own:]))
+            far[s].append(int(np.bitwise_count(a ^ b).sum()))
+    assert abs(np.mean(far[0.8]) - 102.4) < 6 and abs(np.mean(far[0.6]) - 204.8) < 8
+    assert max(far[0.8]) <= nearcopies.FARTHEST < min(far[0.6])
+
+
 def test_columns_may_have_any_name(spark):
     rows = [(1, "one two three four five six", 77, 5), (2, "one two three four five six", 78, 6), (3, None, 79, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __a long, fp long")
