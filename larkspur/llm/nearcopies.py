@@ -9,7 +9,9 @@ together, and those that differ in ``RADIUS`` bits or fewer, and by links of suc
 
 Texts of equal sets are one node. In a group, nodes are compared with one of them, which differs from round to round, and
 nodes that are joined need no more links; after the rounds each node that isn't of a group's largest component is compared with
-all others. Pairs whose sizes rule the similarity out, or whose sketches do, aren't verified: a sketch is a bit of the least shingle in each of ``BITS``
+all others. In groups of over ``WIDE`` nodes only with those that share a shingle which is rare enough: if shingles are put in an order, rare ones first, sets that
+have ``least_common`` shingles in common have the first of them at places from which on both have as many left. So no link is lost, and a copy
+with changes of its own in more than about a ninth of its shingles meets no other copy. Pairs whose sizes rule the similarity out, or whose sketches do, aren't verified: a sketch is a bit of the least shingle in each of ``BITS``
 orders, and at a similarity s it differs in (1 - s) / 2 of them, so that at 0.8 more than ``FARTHEST`` differ in 1 pair of 5,000, and at 0.7 in 14 of 15.
 No pair is left out for the size of a group.
 
@@ -39,6 +41,11 @@ BITS, FARTHEST = 1024, 136
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 #: Rounds of comparing a group's nodes with one of them before others are compared.
 STARS = 3
+#: Groups of more nodes are compared by rare shingles after the rounds; sizes that differ by less than this factor are a class there.
+WIDE, CLASS = 64, 1.05
+#: How often shingles occur is counted by so many leading bits of their hashes.
+PLACE_BITS = 20
+PLACE_SHIFT = np.uint64(64 - PLACE_BITS)
 #: Nodes up to this number are broadcast to pick their texts; beyond it they are joined.
 BROADCAST_MOST = 1_000_000
 #: Texts that a Python worker holds the shingles of at once.
@@ -108,20 +115,64 @@ def nodes(rows: DataFrame, words: int) -> DataFrame:
 
 
 def may_be(similarity: float, x: str, y: str) -> Column:
-    """Whether sets of these sizes and sketches are to be verified."""
+    """Whether sets of these sizes, of which ``rest`` elements at most are common, and of these sketches are to be verified."""
     n, m = F.col(f"{x}n"), F.col(f"{y}n")
-    sizes = F.least(n, m) >= F.ceil(F.lit(similarity) * F.greatest(n, m) - 1e-9)
+    enough = F.least(f"{x}rest", f"{y}rest") >= F.ceil(F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9)
     differ = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in SKETCH), F.lit(0))
-    return sizes & (differ <= FARTHEST)
+    return enough & (differ <= FARTHEST)
+
+
+def texts_of(sets: DataFrame, points: DataFrame, rows: DataFrame) -> DataFrame:
+    """(set, text): a text of each of the sets."""
+    marks = sets.join(points.select("set", F.col("first.a").alias("ra"), F.col("first.b").alias("rb")), "set")
+    small = sets.count() <= BROADCAST_MOST
+    texts = rows.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "text").join(F.broadcast(marks) if small else marks, ["ra", "rb"])
+    return stored(texts.groupBy("set").agg(F.first("text").alias("text")))
+
+
+def by_rare(sets: DataFrame, points: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(h, set, rest): the groups in which pairs of the sets meet that may be as similar, by a shared shingle and the classes of both sizes.
+
+    ``rest`` is how many of a set's shingles come no earlier than the shared one, in the order of how many sets have them; shingles whose hashes
+    begin alike are counted together, so that the counts are of a bounded number. Shingles of one set alone aren't dealt.
+    """
+    texts = texts_of(sets, points, rows)
+
+    def count(batch: pa.RecordBatch):
+        for i in range(0, batch.num_rows, SLICE):
+            found = [np.unique(simhash.shingles(text.as_py(), words)) for text in batch.slice(i, SLICE).columns[0]]
+            place, n = np.unique(np.concatenate(found) >> PLACE_SHIFT, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(n)], ["place", "n"])
+
+    found = arrow_map(texts.select("text"), count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << PLACE_BITS, np.int64)
+    counts[found["place"].to_numpy()] = found["n"].to_numpy()
+    shared = points.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+
+    def place(batch: pa.RecordBatch):
+        own, size, elements, rests = [], [], [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.columns[1]):
+            found = np.unique(simhash.shingles(text.as_py(), words))
+            often = shared.value[found >> PLACE_SHIFT]
+            first = np.lexsort((found, often))[: int((1 - similarity) * len(found) + 1e-6) + 1]
+            dealt = np.flatnonzero(often[first] > 1)
+            own.append(np.full(len(dealt), key, np.int64))
+            size.append(np.full(len(dealt), len(found), np.int32))
+            elements.append(found[first[dealt]].view(np.int64))
+            rests.append((len(found) - dealt).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (own, size, elements, rests)], ["set", "n", "e", "rest"])
+
+    placed = arrow_map(texts.select("set", "text"), place, "set long, n int, e long, rest int")
+    # partners are of similarity * n elements at least, and of as many at most as leave enough in common from here on
+    kind = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / math.log(CLASS)).cast("int")
+    fewest, most = similarity * F.col("n") - 1e-6, F.least(F.col("n") / similarity, F.col("rest") * ((1 + similarity) / similarity) - F.col("n")) + 1e-6
+    met = placed.filter(most >= fewest).select("set", "rest", "e", kind(F.col("n")).alias("own"), F.explode(F.sequence(kind(fewest), kind(most))).alias("other"))
+    return met.select(F.xxhash64("e", F.least("own", "other"), F.greatest("own", "other")).alias("h"), "set", "rest")
 
 
 def verified(pairs: DataFrame, points: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of sets whose similarity is as asked."""
-    needed = stored(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct())
-    marks = needed.join(points.select("set", F.col("first.a").alias("ra"), F.col("first.b").alias("rb")), "set")
-    small = needed.count() <= BROADCAST_MOST
-    texts = rows.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "text").join(F.broadcast(marks) if small else marks, ["ra", "rb"])
-    texts = stored(texts.groupBy("set").agg(F.first("text").alias("text")))
+    texts = texts_of(stored(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()), points, rows)
 
     def work(batch: pa.RecordBatch):
         found = []
@@ -145,13 +196,26 @@ def links(points: DataFrame, rows: DataFrame, words: int, similarity: float) ->
     near = simhash.roots(simhash.links(stored(prints.select("fp").distinct()), RADIUS))
     dealt = stored(prints.join(near.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("h"), "set").distinct())
     shared = dealt.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1").select("h")
-    known_of = ("set", "n", *SKETCH)
-    dealt = stored(dealt.join(shared, "h").join(points.select(*known_of), "set"))
-    edges, tried, tied = None, None, spark.createDataFrame([], "node long, root long")
-    for turn in range(STARS + 1):
-        at = stored(dealt.join(tied.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
-        if turn < STARS:
-            one = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("by"), *known_of, "root")).alias("o")
+    known_of = ("set", "n", "rest", *SKETCH)
+    groups = stored(dealt.join(shared, "h").join(points.select("set", "n", F.col("n").alias("rest"), *SKETCH), "set"))
+    edges, tried, tied, all_narrow = None, None, spark.createDataFrame([], "node long, root long"), False
+    rooted = lambda x: x.join(tied.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    for turn in range(2 * STARS + 1):
+        if turn == STARS:
+            at = stored(rooted(groups))
+            mixed = stored(at.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low < high").select("h", "size"))
+            groups = groups.join(mixed.filter(F.col("size") <= WIDE).select("h"), "h")
+            wide = stored(at.join(mixed.filter(F.col("size") > WIDE).select("h"), "h").select("set").distinct())
+            if not (all_narrow := wide.isEmpty()):
+                groups = groups.unionByName(by_rare(wide, points, rows, words, similarity).join(points.select("set", "n", *SKETCH), "set"))
+            groups = stored(groups)
+        if STARS <= turn < 2 * STARS and all_narrow:
+            continue
+        at = stored(rooted(groups))
+        if turn < 2 * STARS:
+            # at first any node; where rare shingles tell, one with few changes of its own
+            by = F.struct(F.lit(0) if turn < STARS else -F.col("rest"), F.xxhash64("set", F.lit(turn)))
+            one = F.min(F.struct(by.alias("by"), *known_of, "root")).alias("o")
             open_ = at.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), one).filter("low < high")
             met = at.join(open_.select("h", *(F.col(f"o.{c}").alias(f"o_{c}") for c in (*known_of, "root"))), "h").filter("root <> o_root")
         else:

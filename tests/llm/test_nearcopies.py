@@ -74,6 +74,41 @@ def test_rounds_and_broadcasts_set_the_order_only(spark, monkeypatch):
     assert sorted(r.doc_id for r in nearcopies.near_dedup(docs).collect()) == kept_by_all_pairs(rows)
 
 
+def test_copies_of_one_text_are_not_compared_with_each_other(spark, monkeypatch):
+    """Copies of one text that are too far from each other are too many for all pairs of them; each has changes of its own."""
+    rng, most = np.random.default_rng(11), 600
+    words = [f"w{i}" for i in range(100_000)]
+    base = list(rng.choice(words, 154))
+    texts = [" ".join(base)]
+    for i in range(most):
+        copy = list(base)
+        for at in rng.choice(154, 1 + i % 6, replace=False):
+            copy[at] = str(rng.choice(words))
+        texts.append(" ".join(copy))
+    met, whole = [], nearcopies.verified
+
+    def counted(pairs, *more):
+        met.append(pairs.count())
+        return whole(pairs, *more)
+
+    monkeypatch.setattr(nearcopies, "verified", counted)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in nearcopies.near_dedup(docs).collect()) == kept_by_all_pairs(rows)
+    assert sum(met) < 10 * most
+
+
+def test_groups_by_rare_shingles_lose_no_pair(spark, monkeypatch):
+    rows = list(enumerate(texts_with_copies()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "WIDE", 1)
+    for stars, bits in ((0, 20), (1, 6)):
+        monkeypatch.setattr(nearcopies, "STARS", stars)
+        monkeypatch.setattr(nearcopies, "PLACE_BITS", bits)
+        monkeypatch.setattr(nearcopies, "PLACE_SHIFT", np.uint64(64 - bits))
+        assert sorted(r.doc_id for r in nearcopies.near_dedup(docs).collect()) == kept_by_all_pairs(rows)
+
+
 def test_samples_find_pairs_at_the_bar():
     """Pairs of a similarity of 0.8 share a fingerprint but in 1 of 300 cases."""
     rng, missed = np.random.default_rng(2), 0
