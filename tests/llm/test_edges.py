@@ -236,3 +236,10 @@ def test_op1_learns_a_rare_language(spark):
     rare = spark.range(3).selectExpr("id + 50000 AS doc_id", "concat('talo ja puutarha ', id) AS text", "'fi' AS lang")
     languages, _ = langid.fit(common.union(rare), PIECES, F.lit(True))
     assert sorted(languages) == ["en", "fi"]
+
+
+def test_op10_holds_no_rows_of_a_checkpoint(spark):
+    """The counts are read from a table, in small row groups."""
+    found = rules.quality(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"))
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, r.n_words, r.kept) for r in found.collect()) == [(1, 2, False), (2, 0, False)]
