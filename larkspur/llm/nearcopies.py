@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import simhash
-from larkspur.llm.common import arrow_map, fresh, mix, stored
+from larkspur.llm.common import arrow_map, fresh, let_go, mix, stored
 
 WORDS, SIMILARITY = 5, 0.8
 #: Fingerprints of samples, the shingles in each, and the bits that linked fingerprints differ in at most.
@@ -197,6 +197,7 @@ def links(points: DataFrame, rows: DataFrame, words: int, similarity: float) ->
     dealt = stored(prints.join(near.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("h"), "set").distinct())
     shared = dealt.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1").select("h")
     known_of = ("set", "n", "rest", *SKETCH)
+    let_go(spark)
     groups = stored(dealt.join(shared, "h").join(points.select("set", "n", F.col("n").alias("rest"), *SKETCH), "set"))
     edges, tried, tied, all_narrow = None, None, spark.createDataFrame([], "node long, root long"), False
     rooted = lambda x: x.join(tied.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
@@ -209,6 +210,7 @@ def links(points: DataFrame, rows: DataFrame, words: int, similarity: float) ->
             if not (all_narrow := wide.isEmpty()):
                 groups = groups.unionByName(by_rare(wide, points, rows, words, similarity).join(points.select("set", "n", *SKETCH), "set"))
             groups = stored(groups)
+            let_go(spark)
         if STARS <= turn < 2 * STARS and all_narrow:
             continue
         at = stored(rooted(groups))
@@ -229,9 +231,11 @@ def links(points: DataFrame, rows: DataFrame, words: int, similarity: float) ->
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.union(pairs)
+        let_go(spark)
         found = verified(pairs, points, rows, words, similarity)
         edges = found if edges is None else edges.union(found)
         tied = stored(simhash.roots(edges))
+        let_go(spark)
     return tied
 
 

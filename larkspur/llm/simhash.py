@@ -7,7 +7,7 @@ inequality two fingerprints within ``radius`` have distances to the vantage poin
 differ by ``radius`` at most, so that only those near the boundary visit the other
 side, and of a pair it is enough that the inner one does. Shards are searched in
 memory by more of the same splits. Every pair within the radius is found; what
-leaves a shard is a spanning forest of its links, and rounds of contraction join
+leaves a shard is a spanning forest of its links, and rounds of contraction, until few are left, join
 these into components.
 
 A text without words has the fingerprint zero, and so is linked like any other; a null
@@ -17,6 +17,7 @@ whole. Only key and text are read; further columns may have any name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import about, arrow_map, durable, fresh, with_fields
+from larkspur.llm.common import about, arrow_map, bound_batches, durable, fresh, with_fields
 
 #: Home fingerprints that a shard should hold: one of so many of all, and the least and most; and those that a split in memory stops at.
 #: The fewer the shards, the fewer fingerprints visit several; a shard of the most takes 8 MB besides its guests.
 SHARD_SHARE, SHARD_LEAST, SHARD_MOST, SMALL = 64, 1 << 14, 1 << 20, 512
 #: The tree's sample: one fingerprint of so many, and the least and most of it.
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 16, 1 << 13, 1 << 19
+#: Links up to this number are joined in one task, which holds some 100 bytes for each.
+GATHERED = 1 << 18
 SEED = 42
 
 
@@ -202,16 +205,31 @@ def links(points: DataFrame, radius: int = 2, shard: int | None = None) -> DataF
     return arrow_map(points.select("fp"), deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInArrow(search, "a long, b long")
 
 
+def gathered(edges: DataFrame) -> DataFrame:
+    """(node, root): for each node of the links (a, b) the least node of its component, found in one task; for links of a bounded number."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 2
+        nodes = np.unique(np.concatenate([a, b]))
+        root, (moved, least) = nodes.copy(), forest(a, b)
+        root[np.searchsorted(nodes, moved)] = least
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["node", "root"])
+
+    bound_batches(edges.sparkSession)
+    return edges.select("a", "b").coalesce(1).mapInArrow(work, "node long, root long")
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of the links (a, b) the least node of its component.
 
-    In each round a node is contracted into that of itself and its neighbours which is first in an order of the round's own, so
-    that a chain of any length loses more than half of its nodes a round. The
-    nodes left are roots of trees; going back through the rounds gives each node its root.
+    While there are more than ``GATHERED`` links, in each round a node is contracted into that of itself and its neighbours which is first in
+    an order of the round's own, so that a chain of any length loses more than half of its nodes a round. The links left are joined in one
+    task: a round is a dozen stages, and the driver holds what each leaves. Going back through the rounds gives each node its root.
     """
     edges = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     rounds = []
-    while not edges.isEmpty():
+    while edges.count() > GATHERED:
         by = lambda node, turn=len(rounds): F.struct(F.xxhash64(node, F.lit(turn)).alias("by"), F.col(node).alias("low"))
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min(by("b")).alias("best"))
@@ -221,9 +239,9 @@ def roots(edges: DataFrame) -> DataFrame:
         right = step.select(F.col("node").alias("b"), F.col("low").alias("y"))
         moved = edges.join(left, "a").join(right, "b").filter("x <> y")
         edges = durable(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    found = durable(gathered(edges))
     if not rounds:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = rounds.pop().select("node", F.col("low").alias("root"))
+        return found
     for step in reversed(rounds):
         later = found.withColumnRenamed("node", "low")
         found = step.join(later, "low", "left").select("node", F.coalesce("root", "low").alias("root"))

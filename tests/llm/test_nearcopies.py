@@ -135,3 +135,24 @@ def test_columns_may_have_any_name(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, __a long, fp long")
     for dedup in (nearcopies.near_dedup, simhash.near_dedup):
         assert sorted(map(tuple, dedup(docs).collect())) == [rows[0], rows[2]]
+
+
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    """The driver holds what each job leaves; in one task or by rounds, components are the same."""
+    rng, context = np.random.default_rng(7), spark.sparkContext
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-400, 400, (300, 2)) if a != b] + [(i, i + 1) for i in range(1000, 1400)]
+    least = {x: x for pair in pairs for x in pair}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if all(least[a] == least[b] for a, b in pairs):
+            break
+    links = spark.createDataFrame(pairs, "a long, b long")
+    for most in (1 << 18, 60, 0):
+        monkeypatch.setattr(simhash, "GATHERED", most, raising=False)
+        context.setJobGroup(f"roots {most}", "")
+        assert {(r.node, r.root) for r in simhash.roots(links).collect()} == set(least.items())
+        jobs = len(context.statusTracker().getJobIdsForGroup(f"roots {most}"))
+        assert jobs <= 12 or most < len(pairs)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert simhash.roots(links.filter("a IS NULL")).isEmpty()
