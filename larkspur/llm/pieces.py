@@ -62,13 +62,14 @@ class Vocabulary:
             for x in self.spread(c).tolist():
                 h = (h * int(BASE) + x) & 0xFFFFFFFFFFFFFFFF
             hashes[k] = h
-        self.filter = np.zeros((self.longest + 1, 1 << 18), bool)
-        self.filter[lengths, (mix(hashes) >> np.uint64(46)).astype(np.int64)] = True
+        #: By length and 18 bits of the hash: one more than the place of a piece of these in its table, 0 if there is none.
+        self.slots = np.zeros((self.longest + 1, 1 << 18), np.uint16 if len(plain) < 1 << 16 else np.uint32)
         self.tables = {}
         for n in np.unique(lengths):
             own = np.flatnonzero(lengths == n)
             own = own[np.argsort(hashes[own])]
             self.tables[int(n)] = hashes[own], self.plain[own]
+            self.slots[n, (mix(hashes[own]) >> np.uint64(46)).astype(np.int64)] = np.arange(1, len(own) + 1)
 
         #: Characters of pieces of two and more, numbered from 1, and which two stand side by side in one.
         longer = [c for c in chars if len(c) > 1]
@@ -112,10 +113,14 @@ class Vocabulary:
             if size not in self.tables:
                 continue
             values = hashed[at]
-            may = np.flatnonzero(self.filter[size][(mix(values) >> np.uint64(46)).astype(np.int64)])
+            place = self.slots[size][(mix(values) >> np.uint64(46)).astype(np.int64)]
+            may = np.flatnonzero(place)
             keys, numbers = self.tables[size]
-            place = np.minimum(np.searchsorted(keys, values[may]), len(keys) - 1)
-            hit = keys[place] == values[may]
+            values, place = values[may], place[may].astype(np.int64) - 1
+            hit = keys[place] == values
+            other = np.flatnonzero(~hit)  # no piece, or one that shares its bits with another
+            place[other] = np.minimum(np.searchsorted(keys, values[other]), len(keys) - 1)
+            hit[other] = keys[place[other]] == values[other]
             found = at[may[hit]]
             if size == 1:
                 covered[found] = True

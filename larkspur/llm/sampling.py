@@ -11,7 +11,7 @@ text at once, for all texts of a slice together; what branches off at each step
 frontier as one set with one truncated value and is only parted when popped.
 
 Texts are cut where no piece goes across, so that a lattice belongs to a short run of characters; a worker
-keeps the lattices of the runs that it has met, up to a bound. Logarithms are sums of whole multiples of
+keeps the lattices of the runs that it has met, up to a bound beyond which it forgets those seldom met. Logarithms are sums of whole multiples of
 ``UNIT``, so that no result depends on which texts are worked on together.
 
 Noise is a hash of the row's key, the path's number and the character position, so a row's samples depend
@@ -43,8 +43,8 @@ OFFSET, SHARPNESS, BYTE = 10, 1.0, 1e-6
 UNIT = 2.0**-36
 #: A slice of texts is smaller here: their paths are held as well.
 CHARS = 200_000
-#: A worker forgets its lattices once they have so many edges.
-MOST_EDGES = 1_200_000
+#: Once a worker's lattices have so many edges, it forgets those that were least often met again, and keeps this part of the edges at most.
+MOST_EDGES, KEPT = 1_200_000, 0.6
 
 COLUMNS = "sample int, n_pieces int, log_prob double, perturbed double, log_inclusion double, decodes boolean, ids array<int>"
 
@@ -81,8 +81,8 @@ class Bank:
     def clear(self) -> None:
         self.index: defaultdict = defaultdict(itertools.count().__next__)
         self.known = 0
-        # by run: its first and last node; by node: its first edge and their number
-        self.first, self.last, self.begin, self.degree = (Grown(np.int32) for _ in range(4))
+        # by run: its first and last node, and how often it was met again, of late above all; by node: its first edge and their number
+        self.first, self.last, self.again, self.begin, self.degree = (Grown(np.int32) for _ in range(5))
         # by edge: the node it leads to, log probability in units, the node's probability up to here, first id and their number
         self.target, self.log, self.upto = Grown(np.int32), Grown(np.int64), Grown(np.float64)
         self.id_at, self.n_ids, self.ids = Grown(np.int32), Grown(np.uint8), Grown(np.int32)
@@ -90,7 +90,7 @@ class Bank:
     def codes(self, text: str, starts: np.ndarray) -> np.ndarray:
         """A number for each run of ``text``, which begin at ``starts``; new ones are learned. Runs are known by 64-bit hashes."""
         if len(self.target) > MOST_EDGES:
-            self.clear()
+            self.forget()
         if not len(starts):
             return np.zeros(0, np.int64)
         chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -99,6 +99,7 @@ class Bank:
         hashes = np.add.reduceat(mix(place.astype(np.uint64) << np.uint64(21) | chars), starts)
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         numbers = np.fromiter(map(self.index.__getitem__, distinct.tolist()), np.int64, len(distinct))
+        self.again.now[numbers[numbers < self.known]] += 1
         if len(self.index) > self.known:
             new = np.flatnonzero(numbers >= self.known)
             new = at[new[np.argsort(numbers[new])]]
@@ -106,6 +107,32 @@ class Bank:
             self.known = len(self.index)
         return numbers[which]
 
+    def forget(self) -> None:
+        """Keeps the runs that were met again most often; all others go, and those that were not met again."""
+        first, last = self.first.now.astype(np.int64), self.last.now.astype(np.int64)
+        edge = self.begin.now[first].astype(np.int64)
+        n_edges = self.begin.now[last] - edge
+        often = np.argsort(-self.again.now, kind="stable")
+        kept = np.sort(often[(np.cumsum(n_edges[often]) <= KEPT * MOST_EDGES) & (self.again.now[often] > 0)])
+        names = list(self.index)
+        self.index = defaultdict(itertools.count(len(kept)).__next__, zip(map(names.__getitem__, kept.tolist()), range(len(kept))))
+        self.known = len(kept)
+        first, edge, n_nodes, n_edges = first[kept], edge[kept], (last - first + 1)[kept], n_edges[kept]
+        ids = self.id_at.now[edge].astype(np.int64)
+        at_end = edge + n_edges - 1
+        n_ids = self.id_at.now[at_end] + self.n_ids.now[at_end] - ids
+        starts = lambda n: np.cumsum(n) - n
+        to_node, to_edge, to_id = starts(n_nodes) - first, starts(n_edges) - edge, starts(n_ids) - ids  # how far each run's move
+        self.again.take(kept, self.again.now[kept] >> 1)
+        self.first.take(kept, first + to_node), self.last.take(kept, last[kept] + to_node)
+        nodes, edges = ragged(first, n_nodes), ragged(edge, n_edges)
+        self.begin.take(nodes, self.begin.now[nodes] + np.repeat(to_edge, n_nodes)), self.degree.take(nodes)
+        self.target.take(edges, self.target.now[edges] + np.repeat(to_node, n_edges))
+        self.id_at.take(edges, self.id_at.now[edges] + np.repeat(to_id, n_edges))
+        for x in (self.log, self.upto, self.n_ids):
+            x.take(edges)
+        self.ids.take(ragged(ids, n_ids))
+
     def learn(self, runs: list[str]) -> None:
         x = self.vocab.lattice(runs)
         last = x.first + x.length
@@ -135,7 +162,7 @@ class Bank:
             run = int(np.searchsorted(x.first, x.source[e], "right")) - 1
             ids[id_at[e] : id_at[e] + n_ids[e]] = self.vocab.bytes_of(runs[run][x.source[e] - x.first[run]])
         nodes, edges = len(self.begin), len(self.target)
-        self.first.add(x.first + nodes), self.last.add(last + nodes)
+        self.first.add(x.first + nodes), self.last.add(last + nodes), self.again.add(np.zeros(len(runs), np.int32))
         self.begin.add(begin[:-1] + edges), self.degree.add(np.diff(begin))
         self.target.add(x.target + nodes), self.log.add(log)
         # a node's shares sum to 1 but for rounding
@@ -283,28 +310,36 @@ class Sampler:
         """A new path of each of ``texts``: as the popped one to the place where it branches off, and drawn from there."""
         bank = self.bank
         local = np.zeros(len(texts), np.int64)  # edges before the place
-        run, new, left, taken = local.copy(), local.copy(), np.zeros(len(texts)), []
+        run, taken = local.copy(), []
         for j, x in enumerate(found):
             mine = np.flatnonzero(path[texts] == j)
             local[mine] = at[texts[mine]] - x.begin[np.searchsorted(x.texts, texts[mine])]
         u = uniform(seeds[texts], number, local, 4)
-        for i, (text, j, where, t, chance) in enumerate(zip(texts.tolist(), path[texts].tolist(), at[texts].tolist(), local.tolist(), u.tolist())):
+        was, node = local.copy(), local.copy()
+        for j, x in enumerate(found):
+            mine = np.flatnonzero(path[texts] == j)
+            where = at[texts[mine]]
+            was[mine], run[mine] = x.edge[where], x.run[where]
+            node[mine] = self.source_of(x, where, spread)
+            x.key[where] = np.inf
+        # the edges of each text's node in a row of their own, so that sums don't depend on other texts
+        low, degree = bank.begin.now[node].astype(np.int64), bank.degree.now[node].astype(np.int64)
+        column = np.arange(int(degree.max(initial=1)))
+        share = np.where(column < degree[:, None], np.exp(bank.log.now[np.minimum(low[:, None] + column, len(bank.log) - 1)] * UNIT), 0.0)
+        share[every := np.arange(len(texts)), was - low] = 0.0
+        for i, (text, j, t, edge) in enumerate(zip(texts.tolist(), path[texts].tolist(), local.tolist(), was.tolist())):
             x = found[j]
-            edge = int(x.edge[where])
             row = text if j == 0 else int(np.searchsorted(x.texts, text))
-            gone = (*x.taken[row], edge) if x.own[row] == t else (edge,)
-            run[i] = x.run[where]
-            node = self.source_of(x, where, spread)
-            a, b = int(bank.begin.now[node]), int(bank.begin.now[node]) + int(bank.degree.now[node])
-            share = np.exp(bank.log.now[a:b] * UNIT)
-            share[[e - a for e in gone]] = 0.0
-            total = np.cumsum(share)
-            k = min(int(np.searchsorted(total, chance * total[-1])), b - a - 1)
-            while share[k] == 0.0:
-                k -= 1
-            new[i], left[i] = a + k, total[-1] - share[k]
-            x.key[where] = np.inf
-            taken.append((*gone, a + k))
+            gone = x.taken[row] if x.own[row] == t else ()
+            for e in gone:
+                share[i, e - low[i]] = 0.0
+            taken.append((*gone, edge))
+        total = np.cumsum(share, axis=1)
+        k = np.minimum((total < (u * total[:, -1])[:, None]).sum(1), degree - 1)
+        while len(zero := np.flatnonzero((share[every, k] == 0.0) & (k > 0))):
+            k[zero] -= 1
+        new, left = low + k, total[:, -1] - share[every, k]
+        taken = [(*gone, edge) for gone, edge in zip(taken, new.tolist())]
         more, more_run, more_at, size = self.drawn(seeds, texts, run, bank.target.now[new].astype(np.int64), spread, number)
         # the parents' beginnings, the new edges and the ways from there, end to end by text
         begin = np.r_[0, np.cumsum(local + 1 + size)]
@@ -329,10 +364,10 @@ class Sampler:
         rest[tail] = bank.rest(more)
         return Found(texts, begin, value[texts], **out, key=self.keys(out["edge"], begin, noise, rest), own=local, taken=taken)
 
-    def source_of(self, x: Found, where: int, spread: tuple) -> int:
-        """The node that an edge of a path leaves."""
-        run = int(x.run[where])
-        return int(self.bank.first.now[spread[0][run]]) + int(x.position[where]) - int(spread[1][run])
+    def source_of(self, x: Found, where: np.ndarray, spread: tuple) -> np.ndarray:
+        """The nodes that edges of paths leave."""
+        run = x.run[where]
+        return self.bank.first.now[spread[0][run]] + x.position[where] - spread[1][run]
 
     def ids_of(self, x: Found) -> tuple[np.ndarray, np.ndarray]:
         """(vocabulary numbers of all paths end to end, where each text's begin and the last ends)."""

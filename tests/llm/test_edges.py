@@ -67,6 +67,25 @@ def test_op3(docs, none):
     assert sampling.segmentations(none, PIECES, 3).count() == 0
 
 
+def test_op3_keeps_runs_that_are_often_met(monkeypatch):
+    """Lattices of few runs are learned anew when a worker has held as many as it may, and samples don't depend on that."""
+    rng, learned, whole = np.random.default_rng(3), [], sampling.Bank.learn
+    monkeypatch.setattr(sampling.Bank, "learn", lambda self, runs: (learned.extend(runs), whole(self, runs))[1])
+    letters = list("abcdefghijklmnopqrstuvwxyz\u4e2d\U0001f600")
+    usual = " ".join("".join(rng.choice(letters, 9)) for _ in range(20))
+    parts = [[f"{usual} {' '.join(''.join(rng.choice(letters, 9)) for _ in range(20))}" for _ in range(3)] for _ in range(30)]
+    free, bound = sampling.Sampler(PIECES, 4), sampling.Sampler(PIECES, 4)
+    wanted = [free.samples([1, 2, 3], texts) for texts in parts]
+    distinct, learned[:] = set(learned), []
+    monkeypatch.setattr(sampling, "MOST_EDGES", 6000)
+    for texts, expected in zip(parts, wanted):
+        found = bound.samples([1, 2, 3], texts)
+        for x, y in zip(sum(found, []), sum(expected, []), strict=True):
+            assert x[0].tolist() == y[0].tolist() and x[1:] == y[1:] and x[-1]
+    assert len(bound.bank.target) < len(free.bank.target) / 3  # some were forgotten
+    assert len(learned) < 1.1 * len(distinct)
+
+
 def test_op3_probabilities():
     """Sampled frequencies and the inclusion-weighted estimate against all segmentations of a word."""
     sampler = sampling.Sampler(PIECES, 2)
