@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.errors import SchemaMismatch
@@ -13,6 +13,8 @@ from larkspur.operators.frame import require
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 #: Binary logarithms of the sides of grid cells: the least and greatest.
 FINEST, COARSEST = -30, 60
+#: Rows of one geometry that are joined as one block; above so many rows of one geometry, they are dealt to several tasks before blocks are made.
+BLOCK_ROWS, SHARE_ROWS = 256, 1 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -62,26 +64,66 @@ def cells(df: DataFrame, others: list[int]) -> DataFrame:
     return df
 
 
+def distinct(df: DataFrame, geometry: str) -> DataFrame:
+    """Each geometry once, as ``_g``, with the number ``_n`` of its rows, boxed."""
+    found = df.groupBy(F.col(geometry).alias("_g")).agg(F.count("*").alias("_n"))
+    # a geometry that depends on the count, so that the optimizer doesn't ask bounds of every row before they are grouped
+    return boxed(found.select(F.when(F.col("_n") > 0, F.col("_g")).alias("_g"), "_n"), "_g")
+
+
+def key_of(geometry: str) -> Column:
+    """A geometry's SHA-256, which stands for its bytes where rows are matched with it."""
+    return F.unhex(F.sha2(F.col(geometry), 256))
+
+
+def blocks(df: DataFrame, geometry: str, many: list[tuple[bytes, int]], side: str) -> DataFrame:
+    """The rows without their geometry in arrays of up to BLOCK_ROWS of one geometry; ``many`` gives the shares of those of over SHARE_ROWS rows."""
+    plain = [f for f in df.schema.fields if f.name != geometry]
+    hashed = [F.col(f.name) for f in plain if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    row = F.struct(*(F.col(f.name) for f in plain)) if plain else F.struct(F.lit(True).alias("_"))
+    # numbered in an order of their content, so that a task that is run again makes the same blocks
+    rows = df.filter(F.col(geometry).isNotNull()).select(key_of(geometry).alias("_key"), row.alias("_row"), (F.xxhash64(*hashed) if hashed else F.lit(0).cast("long")).alias("_hash"))
+    share = F.lit(0).cast("long")
+    if many:
+        rows = rows.join(F.broadcast(df.sparkSession.createDataFrame(many, "_key binary, _shares long")), "_key", "left")
+        share = F.coalesce(F.pmod("_hash", "_shares"), share)
+    rows = rows.withColumn("_share", share)
+    number = F.row_number().over(Window.partitionBy("_key", "_share").orderBy("_hash")) - 1
+    made = rows.withColumn("_at", F.floor(number / BLOCK_ROWS)).groupBy("_key", "_share", "_at").agg(F.collect_list("_row").alias("_rows"))
+    return made.select(*(F.col(c).alias(f"{side}{c}") for c in ("_key", "_share", "_at", "_rows")))
+
+
 def sjoin(left: DataFrame, right: DataFrame, left_geometry: str, right_geometry: str, predicate: str = "intersects") -> DataFrame:
     """Inner join of the pairs for which ``predicate`` (intersects, contains or within) holds of left and right.
 
+    Geometries are paired first, each once however many rows it stands on, and the predicate is asked once of a pair; then
+    come the rows, in blocks of up to BLOCK_ROWS of one geometry, and the pairs of blocks are dealt to tasks before they are
+    unfolded, so that no task has more than its share of a result that grows with the product of rows.
+
     A geometry's level is that of grid cells no smaller than itself, so that it touches four at most. Of a pair the larger one
     is looked up in the cells of its own level and the smaller one comes there, whichever side it is on; where
     both touch several, they are paired in that of their bounds' common corner. So no geometry fills many
     cells, nothing is compared with everything, and no pair has to be made distinct; crowded cells are split by adaptive
-    execution, as for any skewed join. The levels that there are, some 90 at most, are found beforehand in one pass
-    over each side. The right geometry is dropped; clashing names get ``_right``.
+    execution, as for any skewed join. The levels that there are, some 90 at most, and the geometries of very many rows are found
+    beforehand in one pass over each side. The right geometry is dropped; clashing names get ``_right``.
     """
     require(left, [left_geometry])
     require(right, [right_geometry])
-    a, b = boxed(left, left_geometry), boxed(right, right_geometry)
-    levels = [sorted(df.agg(F.collect_set("_own")).first()[0]) for df in (a, b)]
-    looks, dealt = cells(a, levels[1]), cells(b, levels[0])
+    a, b = distinct(left, left_geometry), distinct(right, right_geometry)
+    shares = F.when(F.col("_n") > SHARE_ROWS, F.struct(key_of("_g"), F.ceil(F.col("_n") / SHARE_ROWS)))
+    (levels, left_many), (other_levels, right_many) = (df.agg(F.collect_set("_own"), F.collect_list(shares)).first() for df in (a, b))
+    looks, dealt = cells(a, sorted(other_levels)), cells(b, sorted(levels))
     other = dealt.select(*(F.col(c).alias(f"_r_{c}") for c in dealt.columns))
     met = looks.join(other, (F.col("_level") == F.col("_r__level")) & (F.col("_cx") == F.col("_r__cx")) & (F.col("_cy") == F.col("_r__cy")))
     met = met.filter(F.col("_level") == F.greatest("_own", "_r__own"))
     corner = (F.floor(F.greatest("_x0", "_r__x0") / F.col("_cell")) == F.col("_cx")) & (F.floor(F.greatest("_y0", "_r__y0") / F.col("_cell")) == F.col("_cy"))
     overlap = (F.col("_x0") <= F.col("_r__x1")) & (F.col("_r__x0") <= F.col("_x1")) & (F.col("_y0") <= F.col("_r__y1")) & (F.col("_r__y0") <= F.col("_y1"))
-    found = met.filter(corner & overlap).filter(geo.relate(predicate)(F.col(left_geometry), F.col(f"_r_{right_geometry}")))
-    theirs = [F.col(f"_r_{c}").alias(f"{c}_right" if c in left.columns else c) for c in right.columns if c != right_geometry]
-    return found.select(*left.columns, *theirs)
+    pairs = met.filter(corner & overlap).filter(geo.relate(predicate)(F.col("_g"), F.col("_r__g"))).select("_g", key_of("_g").alias("_l_key"), key_of("_r__g").alias("_r_key"))
+    both = pairs.join(blocks(left, left_geometry, left_many, "_l"), "_l_key").join(blocks(right, right_geometry, right_many, "_r"), "_r_key")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(tasks, *(f"{side}_{c}" for side in ("_l", "_r") for c in ("key", "share", "at")))
+    found = both.select("_g", F.explode("_l_rows").alias("_l"), "_r_rows").select("_g", "_l", F.explode("_r_rows").alias("_r"))
+    named = lambda c, df, old, new: c.alias(new, metadata=df.schema[old].metadata)
+    mine = [named(F.col("_g") if c == left_geometry else F.col("_l")[c], left, c, c) for c in left.columns]
+    theirs = [named(F.col("_r")[c], right, c, f"{c}_right" if c in left.columns else c) for c in right.columns if c != right_geometry]
+    return found.select(*mine, *theirs)

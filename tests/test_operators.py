@@ -212,3 +212,31 @@ def test_spatial_join_of_points_and_a_large_polygon_fills_few_cells(spark):
     inside = {(1, i) for i in range(10, 61)} | {(2, 0)}
     assert set(values(joins.sjoin(area, points, "g", "p", "contains").select("a", "id"))) | {(1, 10), (1, 60), (2, 0)} == inside
     assert set(values(joins.sjoin(points, area, "p", "g").select("a", "id"))) == inside
+
+
+def test_spatial_join_asks_once_of_a_pair_of_geometries(spark, monkeypatch):
+    from larkspur.geometry.model import point, polygon, write_wkb
+
+    shapes = [write_wkb(g) for g in (polygon([(0, 0), (2, 0), (2, 2), (0, 2)]), polygon([(1, 1), (9, 1), (9, 9), (1, 9)]), polygon([(20, 0), (21, 0), (21, 1), (20, 1)]))]
+    dots = [write_wkb(g) for g in (point(0.5, 0.5), point(1.5, 1.5), point(30, 30))]
+    left = spark.createDataFrame([(i, shapes[i % 3]) for i in range(600)] + [(600, None)], "a long, g binary")
+    right = spark.createDataFrame([(i, dots[i % 3]) for i in range(300)] + [(300, None)], "a long, p binary")
+    hits = {(0, 0), (0, 1), (1, 1)}
+    want = sorted((i, j) for i in range(600) for j in range(300) if (i % 3, j % 3) in hits)
+    asked, real = spark.sparkContext.accumulator(0), joins.geo.relate
+
+    def counted(predicate):
+        @F.udf("boolean")
+        def ask(_, __):
+            asked.add(1)
+            return True
+
+        return lambda a, b: real(predicate)(a, b) & ask(a, b)
+
+    with monkeypatch.context() as m:
+        m.setattr(joins.geo, "relate", counted)
+        assert joins.sjoin(left, right, "g", "p", "contains").count() == len(want) and 3 <= asked.value <= 9
+    for share in (joins.SHARE_ROWS, 70):  # the latter deals each geometry's rows to several tasks
+        monkeypatch.setattr(joins, "SHARE_ROWS", share)
+        assert sorted(values(joins.sjoin(left, right, "g", "p", "contains").select("a", "a_right"))) == want
+    assert sorted(values(joins.sjoin(left.select("g"), right, "g", "p", "contains").groupBy("a").count())) == [(j, 200 * sum(h[1] == j % 3 for h in hits)) for j in range(300) if j % 3 < 2]
