@@ -7,7 +7,7 @@ points alone are better written with coordinates (``larkspur.functions.expr.have
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,7 +44,9 @@ def is_geometry(df: DataFrame, name: str) -> bool:
 def one(work: Callable[[Geometry], object], kind: str, epsg: int) -> Callable[[Column | str], Column]:
     @F.pandas_udf(kind)
     def run(raw: pd.Series) -> pd.Series:
-        return pd.Series([None if b is None else work(read_wkb(b, epsg)) for b in raw], dtype=object)
+        # a geometry that stands on many rows of a batch is worked on once
+        known = cache(lambda b: work(read_wkb(b, epsg)))
+        return pd.Series([None if b is None else known(bytes(b)) for b in raw], dtype=object)
 
     return lambda c: run(column(c))
 
@@ -52,9 +54,10 @@ def one(work: Callable[[Geometry], object], kind: str, epsg: int) -> Callable[[C
 def two(work: Callable[[Geometry, Geometry], object], kind: str, epsg: int) -> Callable[[Column, Column], Column]:
     @F.pandas_udf(kind)
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        # a geometry that stands on many rows (a join's) is read once
+        # a geometry that stands on many rows (a join's) is read once, a pair is worked on once
         read = lru_cache(1024)(lambda b: read_wkb(b, epsg))
-        return pd.Series([None if a is None or b is None else work(read(bytes(a)), read(bytes(b))) for a, b in zip(left, right)], dtype=object)
+        known = cache(lambda a, b: work(read(a), read(b)))
+        return pd.Series([None if a is None or b is None else known(bytes(a), bytes(b)) for a, b in zip(left, right)], dtype=object)
 
     return lambda a, b: run(column(a), column(b))
 
@@ -85,7 +88,8 @@ def points_from_xy(x: Column | str, y: Column | str, z: Column | str | None = No
 def from_wkt(c: Column | str) -> Column:
     @F.pandas_udf("binary")
     def run(text: pd.Series) -> pd.Series:
-        return pd.Series([write_wkb(read_wkt(t)) if t else None for t in text], dtype=object)
+        known = cache(lambda t: write_wkb(read_wkt(t)))
+        return pd.Series([known(t) if t else None for t in text], dtype=object)
 
     return run(column(c))
 
@@ -216,8 +220,9 @@ def relate(predicate: str) -> Callable[[Column, Column], Column]:
                         out[i] = given[predicate][turn] if hit else predicate == "disjoint"
                         todo.discard(i)
         read = lru_cache(1024)(lambda b: read_wkb(b, 4326))
+        known = cache(lambda a, b: work(read(a), read(b)))
         for i in todo:
-            out[i] = work(read(sides[0][i]), read(sides[1][i]))
+            out[i] = known(sides[0][i], sides[1][i])
         return pd.Series(out, dtype=object)
 
     return lambda a, b: run(column(a), column(b))
