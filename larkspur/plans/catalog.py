@@ -95,7 +95,9 @@ def sort_top_k(t):
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 'Infinity'::DOUBLE ELSE round(l_quantity / l_discount, 4) END AS ratio FROM lineitem")
 def ieee_division(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(X.ieee_div("l_quantity", "l_discount"), 4).alias("ratio"))
+    # the SQL has one infinity for whatever is divided by zero
+    ratio = F.when(F.col("l_discount") == 0, float("inf")).otherwise(F.round(X.ieee_div("l_quantity", "l_discount"), 4))
+    return t("lineitem").select("l_orderkey", "l_linenumber", ratio.alias("ratio"))
 
 
 @query("SELECT event_id, CASE WHEN v IS NULL THEN NULL ELSE (v > 50 OR user_id % 2 = 0) END AS flag, CASE WHEN v IS NULL THEN NULL WHEN v > 50 THEN 'high' ELSE 'low' END AS label, coalesce(v, -1) AS filled FROM (SELECT event_id, user_id, CASE WHEN user_id % 3 <> 0 THEN value END AS v FROM events)")

@@ -240,3 +240,14 @@ def test_spatial_join_asks_once_of_a_pair_of_geometries(spark, monkeypatch):
         monkeypatch.setattr(joins, "SHARE_ROWS", share)
         assert sorted(values(joins.sjoin(left, right, "g", "p", "contains").select("a", "a_right"))) == want
     assert sorted(values(joins.sjoin(left.select("g"), right, "g", "p", "contains").groupBy("a").count())) == [(j, 200 * sum(h[1] == j % 3 for h in hits)) for j in range(300) if j % 3 < 2]
+
+
+def test_division_query_equals_its_sql_on_odd_values(spark, tmp_path):
+    values_ = [0.0, -1.0, None, math.nan, math.inf, 5.0, 1.41]
+    rows = [(10 * i + k, 1, q, d) for i, q in enumerate(values_) for k, d in enumerate([0.0, -0.0, None, math.nan, 0.32, -0.07])]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sorted(values(catalog.queries()["ieee_division"](spark, str(tmp_path))), key=lambda r: r[:2])
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    text = lambda found: [(a, b, str(r if r is None else r + 0.0)) for a, b, r in found]  # noqa: E731  zeros of either sign are equal
+    assert text(got) == text(sorted(db.execute(catalog.oracle_sql()["ieee_division"]).fetchall(), key=lambda r: r[:2]))
