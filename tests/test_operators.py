@@ -251,3 +251,18 @@ def test_division_query_equals_its_sql_on_odd_values(spark, tmp_path):
     db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     text = lambda found: [(a, b, str(r if r is None else r + 0.0)) for a, b, r in found]  # noqa: E731  zeros of either sign are equal
     assert text(got) == text(sorted(db.execute(catalog.oracle_sql()["ieee_division"]).fetchall(), key=lambda r: r[:2]))
+
+
+def test_spatial_join_of_points_within_polygons_asks_once(spark, monkeypatch):
+    points = spark.range(1500).select("id", geo.points_from_xy(F.lit(1.0), F.lit(1.0) + F.col("id") % 2).alias("p"))
+    areas = spark.range(700).select(F.col("id").alias("a"), geo.from_wkt(F.lit("POLYGON ((0 0, 3 0, 3 1.5, 0 1.5, 0 0))")).alias("g"))
+    asked, real = spark.sparkContext.accumulator(0), joins.geo.relate
+
+    @F.udf("boolean")
+    def ask(_, __):
+        asked.add(1)
+        return True
+
+    monkeypatch.setattr(joins.geo, "relate", lambda predicate: lambda a, b: real(predicate)(a, b) & ask(a, b))
+    got = joins.sjoin(points, areas, "p", "g", "within").agg(F.count("*"), F.count_distinct("id", "a"), F.max(F.col("id") % 2)).first()
+    assert tuple(got) == (525_000, 525_000, 0) and asked.value <= 2
